@@ -1,0 +1,80 @@
+"""Seed-deterministic simulation: every draft of a grid is one small group of its own."""
+
+from __future__ import annotations
+
+import random
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+Policy = Callable[[pd.DataFrame, dict[str, int], int], str]
+
+#: Starting places of a roster, and how many bench places there are.
+STARTERS = {"QB": 1, "RB": 2, "WR": 2, "TE": 1}
+BENCH = 3
+
+
+def legal(free: pd.DataFrame, roster: dict[str, int], left: int) -> pd.DataFrame:
+    """Players that keep the roster fillable: unfilled starting places must fit into the picks after this one."""
+    gaps = {p: max(0, n - roster.get(p, 0)) for p, n in STARTERS.items()}
+    open_ = sum(gaps.values())
+    over = sum(max(0, roster.get(p, 0) - n) for p, n in STARTERS.items())
+    ok = [open_ - (1 if gaps.get(p, 0) else 0) <= left - 1 and over + (0 if gaps.get(p, 0) else 1) <= BENCH for p in free["position"]]
+    return free[ok] if any(ok) else free
+
+
+def autopick(free: pd.DataFrame, roster: dict[str, int], left: int) -> str:
+    """The cheapest legal player by market price."""
+    return legal(free, roster, left).iloc[0]["player_id"]
+
+
+def greedy(free: pd.DataFrame, roster: dict[str, int], left: int) -> str:
+    """The legal player with most points last season."""
+    x = legal(free, roster, left)
+    return x.sort_values(["prev_points", "adp", "player_id"], ascending=[False, True, True]).iloc[0]["player_id"]
+
+
+POLICIES: dict[str, Policy] = {"autopick": autopick, "greedy": greedy}
+
+
+def draft(board: pd.DataFrame, *, teams: int, slot: int, rounds: int, seed: str, policy: Policy, until: int | None = None) -> list[tuple[int, int, str]]:
+    """(pick, team, player) of a snake draft; opponents add noise to the price, the agent follows its policy.
+
+    ``until`` stops before that pick; a shorter replay is a prefix of a longer one.
+    """
+    rng = random.Random(seed)
+    board = board.sort_values(["adp", "player_id"], kind="stable").reset_index(drop=True)
+    sd = [s if s and s > 0 else max(1.0, 0.15 * a) for s, a in zip(board["stdev"].fillna(0), board["adp"])]
+    noise = [[a + rng.gauss(0, s) for a, s in zip(board["adp"], sd)] for _ in range(teams)]
+    free = board.assign(_at=range(len(board)))
+    rosters: list[dict[str, int]] = [{} for _ in range(teams)]
+    out = []
+    for pick in range(1, min(teams * rounds, len(board)) + 1):
+        if until is not None and pick >= until:
+            break
+        r, i = divmod(pick - 1, teams)
+        team = i if r % 2 == 0 else teams - 1 - i
+        left = rounds - r
+        if team == slot - 1:
+            who = policy(free, rosters[team], left)
+        else:
+            x = legal(free, rosters[team], left)
+            who = min(zip((noise[team][k] for k in x["_at"]), x["player_id"]))[1]
+        row = free[free["player_id"] == who].iloc[0]
+        rosters[team][row["position"]] = rosters[team].get(row["position"], 0) + 1
+        free = free[free["player_id"] != who]
+        out.append((pick, team + 1, who))
+    return out
+
+
+def draft_grid(cells: DataFrame, boards: DataFrame, *, teams: int = 4, rounds: int = 9) -> DataFrame:
+    """Picks of every cell (season, preset, slot, seed, policy); a group holds one board of a bounded size."""
+    joined = cells.join(boards, ["season", "preset"])
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        season, preset, slot, seed, policy = key
+        picks = draft(f, teams=teams, slot=int(slot), rounds=rounds, seed=f"{season}:{preset}:{seed}", policy=POLICIES[policy])
+        return pd.DataFrame([(season, preset, slot, seed, policy, *p) for p in picks], columns=["season", "preset", "slot", "seed", "policy", "pick", "team", "player_id"])
+
+    return joined.groupBy("season", "preset", "slot", "seed", "policy").applyInPandas(run, "season int, preset string, slot int, seed int, policy string, pick int, team int, player_id string")
