@@ -121,13 +121,11 @@ def encode(df: DataFrame, *, text: str = "text", ids: str = "ids", keep: list[st
     """``keep`` (default: all other columns) and the ids of ``text`` as an array of ints.
 
     Null and empty texts have the empty list; strings that look like special tokens are ordinary
-    text; one row comes out for each that goes in.  The work is one pass without a shuffle; ``ids``
-    must not be the name of a kept column.  ``vocabulary`` must be readable on every executor.
+    text; one row comes out for each that goes in.  The work is one pass without a shuffle.  A
+    column that is already named ``ids`` is replaced.  ``vocabulary`` must be readable on every executor.
     ``chunk`` bounds the bytes of text encoded at a time within a batch.
     """
-    keep = [c for c in df.columns if c != text] if keep is None else keep
-    if ids in keep:
-        raise ValueError(f"the column {ids} is there already")
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (text, ids)]
     source = df.select(*keep, F.col(text).cast("string").alias(text))
     schema = source.select(*keep).withColumn(ids, F.array(F.lit(0))).schema
 

@@ -146,8 +146,9 @@ def leaks(
     """(document, item, share) of every document that holds ``share`` of an item's words.
 
     Letter case, punctuation, layout, accents and look-alike characters don't count, nor do single
-    changed or added words.  Null and wordless texts hold nothing and are held by nothing.  Repeated
-    rows of a document give repeated rows of the result only if their ids differ.
+    changed or added words.  Null ids, null texts and wordless texts hold nothing and are held by
+    nothing.  Rows with one document id and item id give one row, with the largest share; empty
+    tables give an empty result.  Where both ids have one name, the item's becomes ``item_``name.
     """
     spark = documents.sparkSession
     wanted = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("_item"), F.col(item_text).alias("_text"))
@@ -163,7 +164,8 @@ def leaks(
         block = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
         found = source.mapInPandas(_finder(block, share, batch_words), schema)
         out = found if out is None else out.unionAll(found)
-    return out.dropDuplicates(["_document", "_item"]).select(F.col("_document").alias(document), F.col("_item").alias(item), "share")
+    name = item if item != document else f"item_{item}"
+    return out.groupBy(F.col("_document").alias(document), F.col("_item").alias(name)).agg(F.max("share").alias("share"))
 
 
 def _finder(block, share: float, batch_words: int):  # noqa: ANN001, ANN202

@@ -35,8 +35,10 @@ def target_report(records: DataFrame, targets: DataFrame, *, category: list[str]
 
     ``records`` has one row per record with the ``category`` columns; ``targets`` has those columns
     and ``share_ppm``, ``min_rows`` and ``sample_size``.  Null equals null in a category.  A null
-    share, minimum or size counts as 0.  Every target has a row, also without records.
+    share, minimum or size counts as 0.  Every target has a row, also without records.  Columns of
+    ``targets`` named like the three new ones are replaced; further columns of ``records`` don't count.
     """
+    targets = targets.drop("needed", "available", "missing")
     counts = records.groupBy(*category).agg(F.count("*").alias("available"))
     t = targets.withColumn("needed", needed(F.col("sample_size"), F.col("share_ppm"), F.col("min_rows")))
     same = [t[c].eqNullSafe(counts[c]) for c in category]
