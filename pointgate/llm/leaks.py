@@ -70,25 +70,43 @@ class Items:
             self.tables.append((offsets, h[order], at[order], owner[at[order]]))
 
     def hits(self, ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Pairs (document, item) as codes document * items + item, with enough of the item under hits."""
-        found = []
-        total = int(self.sizes.sum())
-        for offsets, keys, places, _ in self.tables:
+        """Pairs (document, item) as codes document * items + item, with enough of the item under hits.
+
+        A pair needs seven tenths of the required share under its seeds: edits that hide more than
+        that of a passage would have to stand every few words.  Pairs with too few hits for it are
+        dropped before their places are counted.
+        """
+        n_items, total = len(self.ids), int(self.sizes.sum())
+        need = np.ceil(0.7 * self.share * self.sizes).astype(np.int64)
+        pairs, places, offs = [], [], []
+        for k, (offsets, keys, spots, owners) in enumerate(self.tables):
             at, h = _seeds(ids, owner, offsets)
             low, high = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
             some = low < high
             at, low, high = at[some], low[some], high[some]
             n = high - low
-            which = np.repeat(np.arange(len(at)), n)
-            place = places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-            for o in offsets:
-                found.append(owner[at[which]] * total + place + o)
-        if not found:
+            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            pairs.append(np.repeat(owner[at], n) * n_items + owners[entry])
+            places.append(spots[entry])
+            offs.append(np.full(len(entry), k))
+        pair, place, mask = map(np.concatenate, (pairs, places, offs))
+        if not len(pair):
             return np.zeros(0, np.int64)
-        covered = np.unique(np.concatenate(found))
-        item = np.repeat(np.arange(len(self.ids)), self.sizes)[covered % total] if total else covered
-        pair, n = np.unique(covered // total * len(self.ids) + item, return_counts=True)
-        return pair[n >= self.share / 2 * self.sizes[pair % len(self.ids)]]
+        low = int(pair.min())
+        count = np.bincount(pair - low)
+        widest = max(len(offsets) for offsets, *_ in self.tables)
+        enough = count[pair - low] * widest >= need[pair % n_items]
+        pair, place, mask = pair[enough], place[enough], mask[enough]
+        covered = [pair[mask == k] // n_items * total + place[mask == k] + o for k, (offsets, *_) in enumerate(self.tables) for o in offsets]
+        covered = np.sort(np.concatenate(covered))
+        covered = covered[np.diff(covered, prepend=-1) != 0]
+        item = np.repeat(np.arange(n_items), self.sizes)[covered % total]
+        code = covered // total * n_items + item
+        if not len(code):
+            return code
+        first = np.flatnonzero(np.diff(code, prepend=-1) != 0)
+        n = np.diff(first, append=len(code))
+        return code[first][n >= need[code[first] % n_items]]
 
 
 def stretches(item: np.ndarray, text: np.ndarray, gap: int) -> list[tuple[int, int, int, int, int]]:

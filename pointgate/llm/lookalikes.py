@@ -24,7 +24,7 @@ LOOK_ALIKES = {
     "ɑ": "a", "ɡ": "g", "ı": "i", "ʏ": "Y", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "ɩ": "i", "ȷ": "j",
 }
 
-_IGNORABLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
+_IGNORABLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0000-\U000e0fff]")
 _SILENT = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x84\x86-\x9f]")
 
 
@@ -47,6 +47,25 @@ def shape(ch: str) -> str:
     return LOOK_ALIKES.get(ch, ch)
 
 
+class _Shapes(dict):
+    """Table for ``str.translate`` that fills itself with the shapes of the characters it meets."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = shape(chr(code))
+        return self[code]
+
+
+class _Folds(dict):
+    """The same without accents."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = "".join(c for c in unicodedata.normalize("NFD", shape(chr(code))) if not unicodedata.combining(c))
+        return self[code]
+
+
+_SHAPES, _FOLDS = _Shapes(), _Folds()
+
+
 def skeleton(text: str) -> str:
     """The table's form: equal for two texts exactly if they look the same.
 
@@ -55,8 +74,7 @@ def skeleton(text: str) -> str:
     """
     if text.isascii() and not _SILENT.search(text):
         return text
-    composed = unicodedata.normalize("NFC", "".join(map(shape, unicodedata.normalize("NFD", text))))
-    return composed
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_SHAPES))
 
 
 _WORD = re.compile(r"[^\W_]+")
@@ -67,5 +85,5 @@ def folded_words(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFD", "".join(map(shape, unicodedata.normalize("NFD", text)))) if not unicodedata.combining(c))
+        text = unicodedata.normalize("NFD", text).translate(_FOLDS)
     return _WORD.findall(text.lower())
