@@ -28,7 +28,7 @@ from pointgate.session import cut
 def _tokens():  # noqa: ANN202
     import regex
 
-    return regex.compile("[\\p{L}\\p{N}\\p{M}\\p{Cf}͏ᅟᅠ឴឵ㅤﾠ\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x84\x86-\x9f]+")
+    return regex.compile("[\\p{L}\\p{N}\\p{M}\\p{Cf}\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x84\x86-\x9f]+")
 
 
 def _odd():  # noqa: ANN202
@@ -215,7 +215,7 @@ def visual_pairs(documents: DataFrame, *, document: str, text: str = "text") ->
     forms with several texts are joined; a form with very many documents is spread over tasks.
     """
     forms = visual_forms(documents, document=document, text=text)
-    shown = F.regexp_replace("form", r"[\s\u0085  ]+", "") != ""
+    shown = F.regexp_replace("form", r"[\s\u0085\u2028\u2029]+", "") != ""
     keyed = cut(forms.where(shown).select(F.col(document).alias("_id"), F.md5(F.col("form").cast("binary")).alias("_form"), F.md5(F.col("_text").cast("binary")).alias("_raw")).distinct())
     several = keyed.groupBy("_form").agg(F.count_distinct("_raw").alias("_k")).where("_k > 1").select("_form")
     held = cut(keyed.join(several, "_form", "left_semi"))
