@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointgate.session import cut
+
 
 def tiebreak_join(left: DataFrame, right: DataFrame, on: list[str], *, left_id: list[str], prefer: list[Column]) -> DataFrame:
     """Left join that keeps one right row for each left row: the first by ``prefer``."""
@@ -43,16 +44,24 @@ def tolerance_pairs(df: DataFrame, *, by: list[str], id: str, value: str, tolera
 
 
 def greedy_disjoint(pairs: DataFrame, *, by: list[str], order: list[str]) -> DataFrame:
-    """Of candidate pairs (a, b), in ``order``, those whose ends are both still free; one task for each group."""
-    schema = pairs.schema
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        keep = []
-        for i, a, b in f.sort_values(order)[["a", "b"]].itertuples():
-            if a not in used and b not in used:
-                used |= {a, b}
-                keep.append(i)
-        return f.loc[keep]
-
-    return pairs.groupBy(*by).applyInPandas(run, schema)
+    """Of candidate pairs (a, b), taken in ``order``, those whose ends are both still free.
+
+    The same pairs as a sequential pass takes, but in rounds: a pair is taken as soon as no pair
+    before it shares an end, and pairs that share an end with a taken one drop out.  No group is
+    held in one task; every round ends in a checkpoint.
+    """
+    columns = pairs.columns
+    rest = cut(pairs.withColumn("_key", F.struct(*order, "a", "b")))
+    taken = None
+    while rest.limit(1).count():
+        ends = rest.select(*by, F.explode(F.array("a", "b")).alias("_end"), "_key").groupBy(*by, "_end").agg(F.min("_key").alias("_min"))
+        x = rest
+        for side in ("a", "b"):
+            x = x.join(ends.select(*by, F.col("_end").alias(side), F.col("_min").alias(f"_min_{side}")), [*by, side])
+        now = cut(x.where((F.col("_key") == F.col("_min_a")) & (F.col("_key") == F.col("_min_b"))).select(*columns, "_key"))
+        taken = now if taken is None else taken.unionByName(now)
+        used = now.select(*by, F.explode(F.array("a", "b")).alias("_end"))
+        for side in ("a", "b"):
+            rest = rest.join(used.withColumnRenamed("_end", side), [*by, side], "left_anti")
+        rest = cut(rest.select(*columns, "_key"))
+    return (taken if taken is not None else rest).select(*columns)

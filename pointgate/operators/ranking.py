@@ -39,11 +39,17 @@ def sliced_rank(df: DataFrame, *, by: list[str], value: str, tie: str, name: str
     is the rank within the slice plus the rows of the slices before.  The quantiles only decide
     where the cuts lie; the rank is exact.
     """
+    step = max(1, round(slices**0.5))
     cuts = df.groupBy(*by).agg(F.percentile_approx(value, [i / slices for i in range(1, slices)], 1000).alias("_cuts"))
+    coarse = F.transform(F.sequence(F.lit(step), F.size("_cuts"), F.lit(step)), lambda i: F.element_at("_cuts", i))
+    cuts = cuts.withColumn("_coarse", F.when(F.size("_cuts") >= step, coarse).otherwise(F.slice("_cuts", 1, 0)))
     x = df.join(cuts, by)
-    below = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col(value)))
+    # Cuts below the value, in two steps: whole strides, then within one.
+    strides = F.size(F.filter("_coarse", lambda c: c < F.col(value)))
+    x = x.withColumn("_strides", strides * step)
+    below = F.col("_strides") + F.size(F.filter(F.slice("_cuts", F.col("_strides") + 1, F.lit(step)), lambda c: c < F.col(value)))
     place = F.when(F.col(value).isNull(), slices + 1).otherwise((slices - below) if descending else below)
-    x = x.withColumn("_slice", place).drop("_cuts")
+    x = x.withColumn("_slice", place).drop("_cuts", "_coarse", "_strides")
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     base = x.groupBy(*by, "_slice").agg(F.count("*").alias("_n")).select(*by, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()

@@ -52,9 +52,14 @@ def test_tolerance_pairs_is_brute_force(spark):
     got = matching.tolerance_pairs(spark.createDataFrame(rows, "g string, id int, v double"), by=["g"], id="id", value="v", tolerance=0.05)
     want = {(a[1], b[1]) for a in rows for b in rows if a[2] and b[2] and (a[2], a[1]) < (b[2], b[1]) and b[2] - a[2] <= 0.05 * b[2]}
     assert {(r["a"], r["b"]) for r in got.collect()} == want
-    free = matching.greedy_disjoint(got, by=["g"], order=["a", "b"]).collect()
-    ends = [x for r in free for x in (r["a"], r["b"])]
-    assert len(ends) == len(set(ends))
+    free = {(r["a"], r["b"]) for r in matching.greedy_disjoint(got, by=["g"], order=["value_a"]).collect()}
+    used, first = set(), set()
+    for _, a, b in sorted((r["value_a"], r["a"], r["b"]) for r in got.collect()):
+        if not {a, b} & used:
+            used |= {a, b}
+            first.add((a, b))
+    assert free == first
+    assert matching.greedy_disjoint(got.where("false"), by=["g"], order=["a"]).count() == 0
 
 
 def test_reliability_has_empty_bins_and_closed_top(spark):
