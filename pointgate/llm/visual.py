@@ -184,10 +184,10 @@ def visual_forms(documents: DataFrame, *, document: str, text: str = "text", bud
         for frame in frames:
             forms = []
             for x, spelled in zip(frame["_text"], frame["_spelled"]):
-                if not odd(x) and x.isascii():
-                    forms.append(x)
+                if spelled is None or not odd(x):
+                    forms.append(skeleton(x))  # every token is written by the table
                     continue
-                known = dict(spelled) if spelled is not None else {}
+                known = dict(spelled)
                 out, at = [], 0
                 for m in tokens.finditer(x):
                     out.append(skeleton(x[at : m.start()]))
