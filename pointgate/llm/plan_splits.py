@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from pointgate.llm import keys
 from pointgate.llm.registry import query
-from pointgate.llm.splits import fill_deficits, update_components
+from pointgate.llm.splits import fill_deficits, load_table, save_table, update_components
 from pointgate.operators.joins import salted_join
 from pointgate.session import cut, table
+from pointgate.sources.files import scratch
 
 
 def tied_rows(corpus: DataFrame) -> DataFrame:
@@ -91,11 +92,15 @@ def p5_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = before.groupBy("component", F.col("family").alias("stratum")).agg(F.count("*").alias("n"))
     kept = cut(fill_deficits(sizes, None, shares))
 
+    folder = scratch(spark, "components")
+    save_table(salted_join(first, kept, ["component"], ["node"]).select("node", "component", "split"), folder)
+
     # A trace named by an old row may arrive with the new ones; ties are therefore taken over all rows.
-    second = cut(update_components(first, rows.select("node"), ties(rows, rows)))
+    known = load_table(spark, folder)
+    second = cut(update_components(known, rows.select("node"), ties(rows, rows)))
     after = cut(grouped(rows, second).select("row_id", "family", "component", "late"))
-    moved = first.join(second.select("node", F.col("component").alias("_now")), "node").select("component", "_now").distinct()
-    kept = moved.join(kept, "component").select(F.col("_now").alias("component"), "split")
+    moved = known.join(second.select("node", F.col("component").alias("_now")), "node").select("_now", "split").distinct()
+    kept = moved.select(F.col("_now").alias("component"), "split")
     sizes = after.groupBy("component", F.col("family").alias("stratum")).agg(F.count("*").alias("n"))
     splits = fill_deficits(sizes, kept, shares)
     return salted_join(after, splits, ["component"], ["row_id"]).select("row_id", "family", "late", "split")

@@ -12,7 +12,8 @@ counts.  Every round ends in a checkpoint, so a lost executor costs one round.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointgate.operators.joins import salted_join
@@ -76,6 +77,26 @@ def update_components(existing: DataFrame | None, nodes: DataFrame, edges: DataF
     return salted_join(table, moved, ["component"], ["node"], "left").select("node", F.coalesce("_to", "component").alias("component"))
 
 
+def save_table(table: DataFrame, folder: str) -> int:
+    """Persist a component table as the next version below ``folder``; earlier versions stay."""
+    version = 1 + (_versions(table.sparkSession, folder) or 0)
+    table.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(folder)
+    return version
+
+
+def load_table(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The latest version of a persisted component table; None where there is none."""
+    version = _versions(spark, folder)
+    return spark.read.parquet(folder).where(F.col("version") == version).drop("version") if version else None
+
+
+def _versions(spark: SparkSession, folder: str) -> int | None:
+    try:
+        return spark.read.parquet(folder).agg(F.max("version")).first()[0]
+    except AnalysisException:
+        return None
+
+
 def fill_deficits(sizes: DataFrame, kept: DataFrame | None, shares: DataFrame, *, large: int = 200, slices: int = 64) -> DataFrame:
     """(component, split) for the components of ``sizes`` (component, stratum, n).
 

@@ -7,7 +7,7 @@ import random
 import pytest
 
 from pointgate.llm import keys
-from pointgate.llm.splits import QUARANTINE, fill_deficits, update_components
+from pointgate.llm.splits import QUARANTINE, fill_deficits, load_table, save_table, update_components
 
 
 def brute(nodes, edges):
@@ -48,6 +48,16 @@ def test_increments_equal_one_go(spark):
     assert {r["node"]: r["component"] for r in second.collect()} == brute(nodes, edges)
 
 
+def test_persisted_table(spark, tmp_path):
+    folder = str(tmp_path / "table")
+    assert load_table(spark, folder) is None
+    first = run(spark, None, ["a", "b", "c"], [("a", "b")])
+    assert save_table(first, folder) == 1
+    second = run(spark, load_table(spark, folder), ["d"], [("c", "d"), ("d", "b")])
+    assert save_table(second, folder) == 2
+    assert {r["node"]: r["component"] for r in load_table(spark, folder).collect()} == dict.fromkeys("abcd", "a")
+
+
 def test_deficits_kept_splits_and_quarantine(spark):
     rng = random.Random(6)
     sizes = [(f"c{i}", rng.choice("xy"), rng.randrange(1, 9)) for i in range(400)] + [("big", "x", 150), ("null", None, 3)]
