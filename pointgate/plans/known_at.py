@@ -93,17 +93,17 @@ def depth_facts(weekly: DataFrame, snapshot: DataFrame, grid: DataFrame) -> Data
     """
     code = F.col("season") * 64 + F.col("week")
     coded = grid.withColumn("_code", code)
-    by_code = first_after(coded, "_code", F.sequence(F.coalesce(F.col("_lo") + 1, F.col("_hi") - 64), F.col("_hi")), "_code").withColumnRenamed("t", "_from")
-    day = F.expr("INTERVAL 1 DAY")
-    by_day = first_after(
-        grid, "cutoff", F.sequence(F.coalesce(F.col("_lo"), F.add_months("_hi", -24)).cast("date"), F.date_sub("_hi", 1), day), "_day"
+    # What lies before the grid counts from its first week on.
+    begin = F.broadcast(coded.agg(F.min("_code").alias("_code0"), F.date_sub(F.min("cutoff"), 1).alias("_day0")))  # one row
+    by_code = first_after(coded, "_code", F.sequence(F.coalesce(F.col("_lo") + 1, "_hi"), F.col("_hi")), "_code").withColumnRenamed("t", "_from")
+    by_day = first_after(grid, "cutoff", F.sequence(F.coalesce("_lo", F.date_sub("_hi", 1)), F.date_sub("_hi", 1), F.expr("INTERVAL 1 DAY")), "_day")
+    day = lambda c: F.greatest(F.to_date(c), "_day0")
+    w = weekly.where(F.col("gsis_id").isNotNull() & F.col("loaded_at").isNotNull() & code.isNotNull()).crossJoin(begin).select(
+        F.trim("gsis_id").alias("player"), F.greatest(code, "_code0").alias("_code"), day("loaded_at").alias("_day"), "loaded_at", "depth_id", code.cast("long").alias("rank")
     )
-    w = weekly.where(F.col("gsis_id").isNotNull() & F.col("loaded_at").isNotNull()).select(
-        F.trim("gsis_id").alias("player"), code.alias("_code"), F.to_date("loaded_at").alias("_day"), "loaded_at", "depth_id"
-    )
-    w = w.join(F.broadcast(by_code), "_code").select("player", "_day", "loaded_at", "depth_id", F.col("_code").cast("long").alias("rank"), "_from")
-    s = snapshot.where(F.col("gsis_id").isNotNull() & F.col("loaded_at").isNotNull() & F.col("dt").isNotNull()).select(
-        F.trim("gsis_id").alias("player"), F.to_date("loaded_at").alias("_day"), "loaded_at", "depth_id", F.unix_micros(F.col("dt").cast("timestamp")).alias("rank"), F.to_date("dt").alias("_on")
+    w = w.join(F.broadcast(by_code), "_code").select("player", "_day", "loaded_at", "depth_id", "rank", "_from")
+    s = snapshot.where(F.col("gsis_id").isNotNull() & F.col("loaded_at").isNotNull() & F.col("dt").isNotNull()).crossJoin(begin).select(
+        F.trim("gsis_id").alias("player"), day("loaded_at").alias("_day"), "loaded_at", "depth_id", F.unix_micros(F.col("dt").cast("timestamp")).alias("rank"), day("dt").alias("_on")
     )
     s = s.join(F.broadcast(by_day.select(F.col("_day").alias("_on"), F.col("t").alias("_from"))), "_on")
     both = w.unionByName(s.select(*w.columns)).join(F.broadcast(by_day), "_day")

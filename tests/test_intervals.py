@@ -63,3 +63,33 @@ def test_moments_in_texts(spark, text, season, week, want):
     df = spark.createDataFrame([(text, season, week)], "text string, season int, week int")
     got = df.select(moment_of(F.col("text"), F.col("season"), F.col("week")).alias("m")).first()["m"]
     assert (tuple(got) if got else None) == want
+
+
+def test_weeks_see_only_what_was_loaded_before(spark):
+    """Brute force over invented games and depth rows, also from before the first week."""
+    from datetime import date, datetime, timedelta
+
+    from pointgate.plans.known_at import LEVELS, depth_facts, week_grid
+
+    rng = random.Random(9)
+    weeks = [(s, w, date(s, 9, 1) + timedelta(days=7 * w + rng.randrange(3))) for s in (2020, 2021) for w in (1, 2, 4, 5)]
+    games = spark.createDataFrame(weeks + [(2020, 1, date(2020, 12, 1)), (2020, None, date(2020, 1, 1))], "season int, week int, gameday date")
+    at = lambda: datetime(2020, 8, 25) + timedelta(hours=rng.choice([0, 5, 24 * rng.randrange(420)]))
+    rows = [("p", rng.choice([2017, 2020, 2021]), rng.randrange(1, 7), at() if rng.random() < 0.9 else datetime(2015, 1, 1), i) for i in range(40)]
+    weekly = spark.createDataFrame(rows + [(None, 2020, 1, at(), 90), ("p", None, 1, at(), 91), ("p", 2020, 1, None, 92)], "gsis_id string, season int, week int, loaded_at timestamp_ntz, depth_id int")
+    dated = [("q", at(), at(), 100 + i) for i in range(30)]
+    snapshot = spark.createDataFrame(dated, "gsis_id string, dt timestamp_ntz, loaded_at timestamp_ntz, depth_id int")
+    grid = week_grid(games)
+    order = ["rank", "loaded_at", "depth_id"]
+    facts = supersede(depth_facts(weekly, snapshot, grid), "player", "since", order, 2**LEVELS)
+    events = grid.selectExpr("season * 64 + week AS event", "t", "explode(array('p', 'q')) AS player").selectExpr("event * 2 + int(player = 'q') AS event", "t", "player")
+    got = as_known(events, facts, key="player", event_id="event", time="t", start="since", end="_until", precedence=order, levels=LEVELS)
+    want = {}
+    for s, w, d in weeks:
+        cutoff = datetime(d.year, d.month, d.day)
+        p = [(r[1] * 64 + r[2], r[3], r[4]) for r in rows if (r[1], r[2]) <= (s, w) and r[3] < cutoff]
+        q = [(r[1], r[2], r[3]) for r in dated if r[1] < cutoff and r[2] < cutoff]
+        for k, x in ((0, p), (1, q)):
+            if x:
+                want[(s * 64 + w) * 2 + k] = max(x)[2]
+    assert {r["event"]: r["depth_id"] for r in got.collect()} == want
