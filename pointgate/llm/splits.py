@@ -119,11 +119,11 @@ def fill_deficits(sizes: DataFrame, kept: DataFrame | None, shares: DataFrame, *
     total = s.groupBy("stratum").agg(F.sum("rows").alias("total"))
     want = shares.groupBy(F.col("split_name").alias("split")).agg(F.sum("share_ppm").alias("ppm"))
     have = s.where(F.col("split").isNotNull()).groupBy("stratum", "split").agg(F.sum("rows").alias("have"))
-    deficit = total.crossJoin(F.broadcast(want)).join(have, ["stratum", "split"], "left")
+    deficit = total.crossJoin(want).join(have, ["stratum", "split"], "left")
     deficit = deficit.select("stratum", "split", (F.col("total") * F.col("ppm") / 1e6 - F.coalesce("have", F.lit(0))).alias("lack"))
     lacks = deficit.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("split", "lack"))).alias("lacks"))
 
-    free = s.where(F.col("split").isNull()).join(F.broadcast(total), "stratum").drop("split")
+    free = salted_join(s.where(F.col("split").isNull()), total, ["stratum"], ["component"]).drop("split")
     big = free.where(F.col("rows") * large >= F.col("total"))
 
     def place(key: tuple, rows: pd.DataFrame, open_: pd.DataFrame) -> pd.DataFrame:
