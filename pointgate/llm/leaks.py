@@ -119,25 +119,36 @@ def stretches(item: np.ndarray, text: np.ndarray, gap: int) -> list[tuple[int, i
     order = np.argsort(text, kind="stable")
     ordered = text[order]
     low, high = np.searchsorted(ordered, item, "left"), np.searchsorted(ordered, item, "right")
-    runs, before = [], {}
-    for i in range(len(item)):
-        now = {int(j): before.get(int(j) - 1, 0) + 1 for j in order[low[i] : high[i]]}
-        runs += [(i - n, j - n + 1, n) for j, n in before.items() if n >= least and j + 1 not in now]
-        before = now
-    runs += [(len(item) - n, j - n + 1, n) for j, n in before.items() if n >= least]
-    runs.sort()
-    ends: dict[tuple[int, int], tuple[int, int, int]] = {}
+    n = high - low
+    i = np.repeat(np.arange(len(item)), n)
+    j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+    # Equal words on one diagonal, one after the other, are a run.
+    width = len(item) + 1
+    code = np.sort((j - i) * width + i)
+    first = np.flatnonzero(np.diff(code, prepend=-(1 << 62)) != 1)
+    size = np.diff(first, append=len(code))
+    first, size = first[size >= least], size[size >= least]
+    diagonal, i = np.divmod(code[first], width)
+    runs = sorted(zip(i.tolist(), (i + diagonal).tolist(), size.tolist()))
+    # Best chains by where they end: place in the item, then place in the text.
+    ends: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(len(item) + 1)]
     out = []
     for i, j, n in runs:
         best = (n, i, j)
         for a in range(-1, gap + 1):
-            for b in range(-1, gap + 1):
-                # Runs may touch by one word, as after a word that stands twice.
-                prior = ends.get((i - a, j - b))
-                if prior and prior[0] + n + min(a, b, 0) > best[0]:
-                    best = (prior[0] + n + min(a, b, 0), prior[1], prior[2])
-        if best[0] > ends.get((i + n, j + n), (0,))[0]:
-            ends[(i + n, j + n)] = best
+            # Runs may touch by one word, as after a word that stands twice.
+            row = ends[i - a] if 0 <= i - a <= len(item) else None
+            if not row:
+                continue
+            near = row.items() if len(row) <= gap + 2 else [(k, row[k]) for k in range(j - gap, j + 2) if k in row]
+            for k, prior in near:
+                b = j - k
+                if -1 <= b <= gap:
+                    words = prior[0] + n + min(a, b, 0)
+                    if words > best[0]:
+                        best = (words, prior[1], prior[2])
+        if best[0] > ends[i + n].get(j + n, (0,))[0]:
+            ends[i + n][j + n] = best
         out.append((best[0], best[1], i + n, best[2], j + n))
     return out
 
