@@ -34,8 +34,7 @@ def _jump(parents: DataFrame) -> DataFrame:
 
 def merge_map(edges: DataFrame) -> DataFrame:
     """(node, parent) of every node of ``edges`` (a, b) that isn't the smallest of its component."""
-    e = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    e = cut(e)
+    e = cut(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     done: DataFrame | None = None
     while e.limit(1).count():
         both = e.union(e.select("b", "a")).toDF("node", "other")
@@ -63,7 +62,7 @@ def update_components(existing: DataFrame | None, nodes: DataFrame, edges: DataF
     Null nodes and edges with a null end are ignored; repeated ones count once; nodes named by
     edges only are added.  ``existing`` is an earlier result, or None.
     """
-    edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b").distinct()
+    edges = cut(edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b").distinct())
     named = nodes.select("node").where(F.col("node").isNotNull()).union(edges.select("a")).union(edges.select("b")).distinct()
     if existing is None:
         table = named.select("node", F.col("node").alias("component"))
@@ -73,6 +72,7 @@ def update_components(existing: DataFrame | None, nodes: DataFrame, edges: DataF
             at = existing.select(F.col("node").alias(side), F.col("component").alias("_c"))
             other = "b" if side == "a" else "a"
             edges = salted_join(edges, at, [side], [other], "left").select(F.coalesce("_c", side).alias(side), other)
+    table = cut(table)
     moved = merge_map(edges).select(F.col("node").alias("component"), F.col("parent").alias("_to"))
     return salted_join(table, moved, ["component"], ["node"], "left").select("node", F.coalesce("_to", "component").alias("component"))
 
