@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = Path(__file__).resolve().parent.parent
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package known to the Python workers, once for each context.
+
+    Nothing is to do on one machine where the workers find it themselves, by PYTHONPATH or their
+    working folder.  Elsewhere a zip of the sources goes out by ``addPyFile``, which copies it from
+    the driver.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_pointgate", False):
+        return
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep) if sc.master.startswith("local") else []
+    if not sc.master.startswith("local-cluster") and known:
+        known.append(os.getcwd())
+    if ROOT in [Path(p).resolve() for p in known if p]:
+        return
+    base = Path(tempfile.mkdtemp(prefix="pointgate-src-"))
+    sc.addPyFile(shutil.make_archive(str(base / "pointgate"), "zip", ROOT, "pointgate"))
+    sc._pointgate = True
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables; the schema comes from the Parquet footer."""
