@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointgate.operators.intervals import as_known, supersede
 from pointgate.plans.registry import query
-from pointgate.session import table
+from pointgate.session import cut, table
 
 ORDINALS = (
     "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth "
@@ -152,11 +152,11 @@ QUALIFY row_number() OVER (PARTITION BY packet_id ORDER BY rank DESC, loaded_at
 @query("p2_found", P2_SQL)
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(packet_id, depth_id) of each packet that has a depth row known before its week's cutoff."""
-    grid = week_grid(table(spark, sf_dir, "games"))
+    grid = cut(week_grid(table(spark, sf_dir, "games")))  # a row a week, used many times
     facts = depth_facts(table(spark, sf_dir, "depth_weekly"), table(spark, sf_dir, "depth_snapshot"), grid)
     order = ["rank", "loaded_at", "depth_id"]
     facts = supersede(facts, "player", "since", order, 2**LEVELS)
-    packets = placed_packets(table(spark, sf_dir, "packet_features"), grid)
+    packets = cut(placed_packets(table(spark, sf_dir, "packet_features"), grid))
     return as_known(
         packets, facts, key="player", event_id="packet_id", time="t", start="since", end="_until", precedence=order, levels=LEVELS
     ).select("packet_id", "depth_id")
