@@ -37,9 +37,18 @@ def cited(number: Column, context: Column) -> Column:
     return near(number) | near(number / 100) | near(number * 100)
 
 
-def fingerprint(text: Column) -> Column:
+#: Whitespace of every script, as ``str.split`` of Python has it.
+SPACE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+
+
+def plain(text: Column, space: str = SPACE) -> Column:
+    """Lower case with single blanks."""
+    return F.lower(F.trim(F.regexp_replace(text, space, " ")))
+
+
+def fingerprint(text: Column, space: str = r"\s+") -> Column:
     """SHA-256 of the lower-case text with single blanks."""
-    return F.sha2(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), 256)
+    return F.sha2(plain(text, space), 256)
 
 
 def words(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pointgate.functions import text as tx
 from pointgate.functions.names import coach_name
 from pointgate.operators.matching import greedy_disjoint
 from pointgate.plans.registry import query
@@ -165,3 +166,11 @@ def staff_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where(F.col("player_name").rlike(r"^[ -~]+\z"))
     name = coach_name(F.col("player_name"))
     return d.select("doc_id", name.alias("person"), F.contains(F.lower("text"), name).alias("named"))
+
+
+@query("staff_validation_all")
+def staff_validation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``staff_validation`` over every name that is not null, in any script."""
+    d = table(spark, sf_dir, "documents").where(F.col("player_name").isNotNull())
+    name = tx.plain(F.col("player_name"))
+    return d.select("doc_id", name.alias("person"), F.contains(F.lower("text"), name).alias("named"))

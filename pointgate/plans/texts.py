@@ -53,6 +53,15 @@ def fingerprint_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).join(items, "fp", "left_anti").select("doc_id", "fp", "copies")
 
 
+@query("fingerprint_dedup_all")
+def fingerprint_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fingerprint_dedup`` over every text that is not null, in any script, with tabs and line breaks."""
+    mark = tx.fingerprint(F.col("text"), tx.SPACE).alias("fp")
+    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", mark)
+    items = table(spark, sf_dir, "eval_items").select(mark)
+    return d.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).join(items, "fp", "left_anti").select("doc_id", "fp", "copies")
+
+
 @query("simhash_neardup")
 def simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(class, other, distance): classes of equal texts whose SimHash differs in at most one bit and whose length by 1 %.
