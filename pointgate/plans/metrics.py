@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pointgate.operators import metrics as m
 from pointgate.operators import scoring as sc
+from pointgate.operators.nearest import cosine_topk
 from pointgate.plans.labels import _YEARLY, yearly
 from pointgate.plans.registry import query
 from pointgate.session import table
@@ -368,3 +369,11 @@ def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = x.select("query_id", "vec_id", (dot(F.col("_q"), F.col("embedding")) / (F.col("_qn") * F.col("_norm"))).alias("s"))
     r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("s", 7).desc(), "vec_id"))
     return x.withColumn("r", r).where("r <= 5").select("query_id", "vec_id", F.round("s", 5).alias("similarity"))
+
+
+@query("embedding_topk_all", "WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) SELECT q.vec_id AS query_id, e.vec_id AS vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) AS similarity FROM q JOIN embeddings e ON e.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 7) DESC, e.vec_id) <= 5")
+def embedding_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar of all vectors, of any label or none, for every vector whose id is divisible by 20."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    x = cosine_topk(e.where(F.col("vec_id") % 20 == 0), e, id="vec_id", vector="embedding", k=5)
+    return x.select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"))
