@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pointgate.functions import text as tx
 from pointgate.functions.names import NORM_NAME_SQL, norm_name
 from pointgate.operators.matching import band_cohort, greedy_disjoint, tiebreak_join, tolerance_pairs, unambiguous
+from pointgate.operators.near import edit_pairs
 from pointgate.operators.temporal import asof_latest, carry_forward
 from pointgate.plans.labels import _PF, _YEARLY, latest_packets, yearly
 from pointgate.plans.registry import query
@@ -366,3 +368,28 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     most = 0.1 * F.greatest(F.length("name_a"), F.length("name_b"))
     x = a.join(b, "block").where((F.col("a") < F.col("b")) & (F.abs(F.length("name_a") - F.length("name_b")) <= most))
     return x.withColumn("distance", F.levenshtein("name_a", "name_b")).where(F.col("distance") <= most).select("a", "b", "name_a", "name_b", F.col("distance").cast("long").alias("distance"))
+
+
+@query(
+    "text_pairs_all",
+    """
+WITH n AS (SELECT DISTINCT player_id, lower(player) AS name FROM season_points)
+SELECT a.player_id AS a, b.player_id AS b, a.name AS name_a, b.name AS name_b, levenshtein(a.name, b.name) AS distance FROM n a JOIN n b ON a.player_id < b.player_id
+WHERE abs(length(a.name) - length(b.name)) <= 0.1 * greatest(length(a.name), length(b.name)) AND levenshtein(a.name, b.name) <= 0.1 * greatest(length(a.name), length(b.name))""",
+)
+def text_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``text_pairs`` without blocks: names whose edit similarity is at least 0.9, wherever they differ."""
+    k = table(spark, sf_dir, "season_points").select("player_id", F.lower("player").alias("name")).dropna().distinct()
+    x = edit_pairs(k.withColumn("id", F.concat("player_id", F.lit("\n"), "name")), by=[], id="id", text="name")
+    player = lambda c: F.substring_index(c, "\n", 1)
+    ends = F.array_sort(F.array(*[F.struct(player(c).alias("id"), F.col(f"text_{c}").alias("name")) for c in "ab"]))
+    x = x.where(player("a") != player("b")).select(ends.alias("e"), "distance")
+    return x.select(*[F.col("e")[i][f].alias(n) for f, names in (("id", "ab"), ("name", ("name_a", "name_b"))) for i, n in enumerate(names)], "distance")
+
+
+@query("response_pairs")
+def response_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct replies of one subtype (else family) whose edit similarity is at least 0.9; a and b are their lowest rows."""
+    reply = F.try_element_at(F.filter("messages", lambda m: m["role"] == "assistant"), F.lit(-1))["content"]
+    t = table(spark, sf_dir, "t11_targeted_v1").select(F.coalesce("t11_subtype", "family", F.lit("")).alias("subtype"), "row_id", tx.plain(reply).alias("text"))
+    return edit_pairs(t.where(F.col("text").isNotNull()).groupBy("subtype", "text").agg(F.min("row_id").alias("row_id")), by=["subtype"], id="row_id", text="text")
