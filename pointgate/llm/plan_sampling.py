@@ -44,9 +44,8 @@ rep AS (
 
 @query("p1_found", _RECORDS + "SELECT target_id FROM rep WHERE available < needed")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets that the records cannot fill."""
-    _, report = drawn(spark, sf_dir)
-    return report.where(F.col("missing") > 0).select("target_id")
+    """Targets that the records cannot fill: those of which the sample holds fewer records than needed."""
+    return p1_report(spark, sf_dir).where(F.col("sampled") < F.col("needed")).select("target_id")
 
 
 @query("p1_report", _RECORDS + "SELECT target_id, request_id, needed, available, greatest(needed - available, 0) AS missing, least(needed, available) AS sampled FROM rep")

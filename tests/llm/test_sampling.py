@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from pointgate.llm import plan_sampling
 from pointgate.llm.sampling import targeted_sample
 
 T = "target_id int, request string, family string, round int, share_ppm int, min_rows int, sample_size int"
@@ -51,3 +54,15 @@ def test_empty_nulls_and_clashing_columns(spark):
     t = spark.createDataFrame([(1, "R", "a", 1, 1_000_000, 0, 2, 5)], T + ", needed int")
     sample, report = targeted_sample(r, t, record="id", category=["family", "round"], request="request", target="target_id")
     assert sample.count() == 2 and report.first()["needed"] == 2
+
+
+def test_unmet_targets_come_from_the_sample(spark, monkeypatch, sf_dir):
+    """A record taken out of the sample must show in p1_found."""
+    sample, report = plan_sampling.drawn(spark, sf_dir)
+    met = report.where("missing = 0 and needed > 0").first()["target_id"]
+    lost = sample.where(F.col("target_id") == met).first()["trace_id"]
+    less = sample.where((F.col("target_id") != met) | (F.col("trace_id") != lost))
+    found = lambda: {r["target_id"] for r in plan_sampling.p1_found(spark, sf_dir).collect()}
+    before = found()
+    monkeypatch.setattr(plan_sampling, "drawn", lambda *_: (less, report))
+    assert met not in before and found() == before | {met}
