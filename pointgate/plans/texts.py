@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pointgate.functions import text as tx
 from pointgate.operators.joins import salted_join
+from pointgate.operators.near import jaccard_pairs
 from pointgate.plans.registry import query
 from pointgate.session import table
 
@@ -82,6 +83,19 @@ def simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["half", "v"]).where((F.col("class") < F.col("other")) & near).select("class", "other", distance.cast("int").alias("distance")).distinct()
 
 
+@query("jaccard_neardup")
+def jaccard_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(class, other, jaccard): classes of equal texts that share at least 0.8 of their 5-word shingles, all of them.
+
+    Equal texts are one class with its lowest document; texts without words have no shingles.
+    """
+    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    # The generator keeps the words from being split anew for every shingle.
+    w = d.select("doc_id", F.explode(F.array(tx.words(F.col("text")))).alias("w")).where(F.size("w") > 0)
+    g = w.select("doc_id", F.array_distinct(F.transform(tx.shingles(F.col("w"), 5), lambda x: F.xxhash64(x))).alias("g"))
+    return jaccard_pairs(g, id="doc_id", items="g").select(F.col("a").alias("class"), F.col("b").alias("other"), F.round("jaccard", 6).alias("jaccard"))
+
+
 @query("text_classes", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class, count(*) OVER (PARTITION BY text) AS copies FROM documents WHERE text IS NOT NULL AND text <> ''")
 def text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Membership in the classes of equal texts, named by their lowest document."""
