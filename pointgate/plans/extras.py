@@ -95,9 +95,22 @@ def digest_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("html_table_melt", f"WITH b AS ({_BEST}) SELECT season, position, player_id, round(ppr, 2) AS ppr FROM b WHERE finish <= 5 AND ppr >= 0")
 def html_table_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table in HTML with seasons as columns, read back to one row for each filled cell."""
-    b = best(spark, sf_dir).where("finish <= 5 and ppr >= 0")
-    seasons = list(range(2000, 2031))
+    """A table in HTML with seasons as columns, of the five best of a position, read back to one row for each filled cell."""
+    return melted(best(spark, sf_dir).where("finish <= 5 and ppr >= 0"))
+
+
+@query("html_table_melt_all", f"WITH b AS ({_BEST}) SELECT season, position, player_id, round(ppr, 2) AS ppr FROM b WHERE season IS NOT NULL AND ppr IS NOT NULL")
+def html_table_melt_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``html_table_melt`` over every player season."""
+    return melted(best(spark, sf_dir))
+
+
+def melted(b: DataFrame) -> DataFrame:
+    """Filled cells of the HTML tables of ``b``; the columns are the seasons that stand in it, a bounded vocabulary."""
+    b = b.where(F.col("season").isNotNull() & F.col("ppr").isNotNull())
+    seasons = sorted(r["season"] for r in b.select("season").distinct().collect())
+    if not seasons:
+        return b.select("season", "position", "player_id", "ppr")
     wide = b.groupBy("player_id", "position").pivot("season", seasons).agg(F.first(F.format_string("%.2f", F.round("ppr", 2))))
     head = F.lit("<tr>" + "".join(f"<th>{s}</th>" for s in seasons) + "</tr>")
     cells = F.concat(*[F.concat(F.lit("<td>"), F.coalesce(F.col(str(s)), F.lit("")), F.lit("</td>")) for s in seasons])
