@@ -18,31 +18,55 @@ def draw(spark, records, targets, **more):
     return targeted_sample(r, t, record="id", category=["family", "round"], request="request", target="target_id", **more)
 
 
-def test_targets_are_met_or_reported(spark):
+def test_shares_floors_and_size_hold(spark):
     records = [(f"a{i}", "a", 1) for i in range(300)] + [(f"b{i}", "b", None) for i in range(40)] + [(f"c{i}", "c", 2) for i in range(3)]
     targets = [(1, "R", "a", 1, 700_000, 0, 101), (2, "R", "b", None, 250_000, 30, 101), (3, "R", "c", 2, 50_000, 5, 101), (4, "R", "d", None, 0, 1, 101), (5, "S", "a", 1, 1_000_000, 0, 7)]
-    sample, report = draw(spark, records, targets, slices=4)
+    sample, report = draw(spark, records, targets, slice_rows=50)
     got = {r["target_id"]: (r["needed"], r["available"], r["missing"]) for r in report.collect()}
     assert got == {1: (71, 300, 0), 2: (30, 40, 0), 3: (6, 3, 3), 4: (1, 0, 1), 5: (7, 300, 0)}
     rows = sample.collect()
-    assert Counter(r["target_id"] for r in rows) == {1: 71, 2: 30, 3: 3, 5: 7}
+    n = Counter(r["target_id"] for r in rows)
+    # The floor of b costs a what it adds; c and d give all they have.
+    plan = {r["target_id"]: r for r in report.collect()}
+    assert n[2] == 30 and n[3] == 3 and n[4] == 0 and n[5] == 7 and n[1] == plan[1]["drawn"] - plan[2]["added"]
+    assert plan[1]["drawn"] in (70, 71) and plan[2]["added"] == 30 - plan[2]["drawn"] > 0
     assert len({(r["target_id"], r["id"]) for r in rows}) == len(rows)
-    again = draw(spark, records[::-1], targets, slices=4)[0].collect()
+    assert Counter(r["target_id"] for r in rows if r["drawn_as"] == "floor") == {2: plan[2]["added"]}
+    again = draw(spark, records[::-1], targets, slice_rows=1000)[0].collect()
     assert {(r["target_id"], r["id"], r["drawn_as"]) for r in rows} == {(r["target_id"], r["id"], r["drawn_as"]) for r in again}
 
 
+def test_size_is_kept_and_shares_are_rounded(spark):
+    """Without floors each category holds its share rounded down or up, and the request its size."""
+    shares = {f: s for f, s in zip("abcdefg", (333_333, 200_001, 166_666, 123_456, 100_000, 51_234, 25_310))}
+    records = [(f"{f}{i}", f, 1) for f in shares for i in range(120)]
+    for seed in "012":
+        sample, _ = draw(spark, records, [(k, "R", f, 1, s, 0, 97) for k, (f, s) in enumerate(shares.items())], seed=seed)
+        n = Counter(r["target_id"] for r in sample.collect())
+        assert sum(n.values()) == 97
+        assert all(abs(n[k] - 97 * s / 1e6) < 1 for k, s in enumerate(shares.values()))
+
+
+def test_floors_above_the_size(spark):
+    """Floors come first, also where they exceed the size of the request."""
+    records = [(f"{f}{i}", f, 1) for f in "abc" for i in range(50)]
+    sample, report = draw(spark, records, [(1, "R", "a", 1, 900_000, 0, 10), (2, "R", "b", 1, 100_000, 8, 10), (3, "R", "c", 1, 0, 7, 10)])
+    assert Counter(r["target_id"] for r in sample.collect()) == {2: 8, 3: 7}
+    assert {r["target_id"]: r["paid"] for r in report.collect()} == {1: 9, 2: 0, 3: 0}
+
+
 def test_slices_and_seed(spark):
     records = [(f"a{i}", "a", 1) for i in range(200)]
     targets = [(1, "R", "a", 1, 1_000_000, 0, 50)]
     ids = lambda **k: {r["id"] for r in draw(spark, records, targets, **k)[0].collect()}
-    assert ids(slices=1) == ids(slices=64)
+    assert ids(slice_rows=1000) == ids(slice_rows=3)
     assert ids(seed="1") != ids(seed="2")
 
 
 def test_selection_is_spread_evenly(spark):
     """Over many seeds each record is drawn about as often as its probability says."""
     records = [(f"a{i}", "a", 1) for i in range(20)]
-    n = Counter(r["id"] for s in range(12) for r in draw(spark, records, [(1, "R", "a", 1, 1_000_000, 0, 5)], seed=str(s), slices=2)[0].collect())
+    n = Counter(r["id"] for s in range(12) for r in draw(spark, records, [(1, "R", "a", 1, 1_000_000, 0, 5)], seed=str(s), slice_rows=10)[0].collect())
     assert sum(n.values()) == 60 and len(n) >= 14 and max(n.values()) <= 9
 
 
@@ -57,12 +81,27 @@ def test_empty_nulls_and_clashing_columns(spark):
 
 
 def test_unmet_targets_come_from_the_sample(spark, monkeypatch, sf_dir):
-    """A record taken out of the sample must show in p1_found."""
+    """A target is a case as long as the sample holds all that its category has: a record taken out of the sample shows in p1_found."""
     sample, report = plan_sampling.drawn(spark, sf_dir)
-    met = report.where("missing = 0 and needed > 0").first()["target_id"]
-    lost = sample.where(F.col("target_id") == met).first()["trace_id"]
-    less = sample.where((F.col("target_id") != met) | (F.col("trace_id") != lost))
     found = lambda: {r["target_id"] for r in plan_sampling.p1_found(spark, sf_dir).collect()}
     before = found()
+    case = report.where("missing > 0 and available > 0").first()["target_id"]
+    lost = sample.where(F.col("target_id") == case).first()["trace_id"]
+    less = sample.where((F.col("target_id") != case) | (F.col("trace_id") != lost))
     monkeypatch.setattr(plan_sampling, "drawn", lambda *_: (less, report))
-    assert met not in before and found() == before | {met}
+    assert case in before and found() == before - {case}
+
+
+def test_sizes_of_the_requests(spark, sf_dir):
+    """Over the test tables: all shares rounded down or up unless a floor or a lack of records says otherwise, and sizes kept."""
+    from math import floor
+
+    plan = plan_sampling.drawn(spark, sf_dir)[1].collect()
+    sums = {}
+    for r in plan:
+        share = r["sample_size"] * r["share_ppm"] / 1e6
+        assert r["drawn"] >= min(floor(share), r["available"]) and r["drawn"] <= share + 1
+        x = sums.setdefault(r["request_id"], [0, 0, r["sample_size"]])
+        x[0] += r["drawn"] + r["added"] - r["paid"]
+        x[1] += max(0, share - r["available"])
+    assert all(total <= size and total >= size - lack - 1 for total, lack, size in sums.values())
