@@ -1,13 +1,21 @@
 """Passages of evaluation items in a training corpus, found by spaced seeds.
 
 A seed is the hash of the words at the cared-for positions of a fixed mask; the other positions are
-ignored, so a changed word there doesn't hide the passage.  The seeds of the items form a sorted
-table, the seeds of each document are joined to it by binary search, and around the hits the texts
-themselves are compared: runs of equal words are chained over single changed or added words into
-stretches, and one or two stretches in the item's order must hold the required share of its words.
+ignored.  The hash is that of the words kept, wherever they stood, so a seed of an item and one of a
+document meet by any two masks: the same mask on both sides tolerates a changed word, a mask with a
+gap against one without tolerates a word added (or left out).  Seeds of both sides are hash-joined,
+and the pairs (document, item) that meet are verified: runs of equal words are chained over single
+changed or added words into stretches, and one or two stretches in the item's order must hold the
+required share of its words.
 
-The items go out in blocks of at most ``block_words`` words, each a broadcast of proven size, and the
-documents stream past each block without a shuffle; a document is verified where it is read.
+Not all seeds of an item are needed.  A document that holds the required share with edits at least
+two words apart has seeds at ``needed_starts`` or more places of the item, so all but the rarest places
+are left out, one fewer than that number, and every such document still meets one of the rest.
+
+The corpus is read once, without a shuffle.  A filter over the items' seeds (a bit for each hash, of
+at most ``2**filter_bits`` bits whatever the number of items, the only thing that passes the driver)
+decides where a document is read which of its seeds go into the join; documents without any, which
+are nearly all of a corpus, end there.
 """
 
 from __future__ import annotations
@@ -16,97 +24,71 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointgate.llm.lookalikes import folded_words
+from pointgate.operators.joins import salted_join
+from pointgate.session import cut
+
+#: Masks of the seeds: 1 = the word counts, 0 = any word.  All keep as many words.
+MASKS = ("1111", "11101", "11011", "10111")
+WIDTH = 4
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the filter that one group builds.
+_PIECE = 1 << 20
+
 
-#: Masks of the seeds: 1 = the word counts, 0 = any word.
-MASKS = ("11111", "110111", "1101011", "11011001")
+class _Hashes(dict):
+    """64-bit hashes of words, filled as words come; emptied by its owner when it grows."""
 
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+    def __missing__(self, word: str) -> int:
+        self[word] = x = xxhash.xxh3_64_intdigest(word) >> 1
+        return x
 
 
-def _seeds(ids: np.ndarray, owner: np.ndarray, offsets: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the seeds of one mask; ids of 0 stand for words that no item has."""
+def hashed(words: list[str], known: _Hashes) -> np.ndarray:
+    if len(known) > 2_000_000:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
+def seeds(words: np.ndarray, mask: str, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(start, key) of the seeds of one mask; with ``owner`` those that lie in one text only."""
+    offsets = [i for i, c in enumerate(mask) if c == "1"]
     last = offsets[-1]
-    n = len(ids) - last
+    n = len(words) - last
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    ok = owner[:n] == owner[last:]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = np.full(n, len(offsets), np.uint64)
     for o in offsets:
-        ok &= ids[o : o + n] > 0
-    at = np.flatnonzero(ok)
-    h = np.zeros(len(at), np.uint64)
-    for k, o in enumerate(offsets):
-        h = (h ^ ids[at + o].astype(np.uint64)) * _MIX[k % len(_MIX)]
+        h = (h ^ words[o : o + n].astype(np.uint64)) * _MIX
         h ^= h >> np.uint64(29)
-    return at, h
-
-
-class Items:
-    """The seed table of one block of items."""
-
-    def __init__(self, names: list, texts: list[str], share: float, masks: tuple[str, ...] = MASKS):
-        words = [(n, w) for n, t in zip(names, texts) if (w := folded_words(t))]
-        self.names = [n for n, _ in words]
-        self.vocabulary: dict[str, int] = {}
-        self.ids = [np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64) for _, w in words]
-        self.share = share
-        self.sizes = np.array([len(x) for x in self.ids], np.int64)
-        self.begins = np.cumsum(self.sizes) - self.sizes
-        self.tables = []
-        flat = np.concatenate(self.ids) if self.ids else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(self.ids)), self.sizes)
-        # Items shorter than the masks are found by runs of as many words as must be there.
-        short = self.sizes < max(map(len, masks))
-        need = np.maximum(1, np.ceil(share * self.sizes).astype(int))
-        for mask in [*masks, *("1" * int(n) for n in np.unique(need[short]))]:
-            offsets = [i for i, c in enumerate(mask) if c == "1"]
-            at, h = _seeds(flat, owner, offsets)
-            mine = ~short[owner[at]] if mask in masks else short[owner[at]] & (need[owner[at]] == len(mask))
-            at, h = at[mine], h[mine]
-            order = np.argsort(h, kind="stable")
-            self.tables.append((offsets, h[order], at[order], owner[at[order]]))
-
-    def hits(self, ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Pairs (document, item) as codes document * items + item, with enough of the item under hits.
-
-        A pair needs seven tenths of the required share under its seeds: edits that hide more than
-        that of a passage would have to stand every few words.  Pairs with too few hits for it are
-        dropped before their places are counted.
-        """
-        n_items, total = len(self.ids), int(self.sizes.sum())
-        need = np.ceil(0.7 * self.share * self.sizes).astype(np.int64)
-        pairs, places, offs = [], [], []
-        for k, (offsets, keys, spots, owners) in enumerate(self.tables):
-            at, h = _seeds(ids, owner, offsets)
-            low, high = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-            some = low < high
-            at, low, high = at[some], low[some], high[some]
-            n = high - low
-            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-            pairs.append(np.repeat(owner[at], n) * n_items + owners[entry])
-            places.append(spots[entry])
-            offs.append(np.full(len(entry), k))
-        pair, place, mask = map(np.concatenate, (pairs, places, offs))
-        if not len(pair):
-            return np.zeros(0, np.int64)
-        low = int(pair.min())
-        count = np.bincount(pair - low)
-        widest = max(len(offsets) for offsets, *_ in self.tables)
-        enough = count[pair - low] * widest >= need[pair % n_items]
-        pair, place, mask = pair[enough], place[enough], mask[enough]
-        covered = [pair[mask == k] // n_items * total + place[mask == k] + o for k, (offsets, *_) in enumerate(self.tables) for o in offsets]
-        covered = np.sort(np.concatenate(covered))
-        covered = covered[np.diff(covered, prepend=-1) != 0]
-        item = np.repeat(np.arange(n_items), self.sizes)[covered % total]
-        code = covered // total * n_items + item
-        if not len(code):
-            return code
-        first = np.flatnonzero(np.diff(code, prepend=-1) != 0)
-        n = np.diff(first, append=len(code))
-        return code[first][n >= need[code[first] % n_items]]
+    start = np.arange(n)
+    if owner is not None:
+        start = np.flatnonzero(owner[:n] == owner[last:])
+    return start, (h[start] >> np.uint64(1)).astype(np.int64)
+
+
+def needed_words(words: int, share: float) -> int:
+    return max(1, int(np.ceil(share * words - 1e-9)))
+
+
+def item_masks(words: int, share: float) -> tuple[str, ...]:
+    """The masks of an item: of items so short that each of two stretches may have fewer words than a mask, runs of half the words needed."""
+    half = -(-needed_words(words, share) // 2)
+    return MASKS if half >= WIDTH else ("1" * half,)
+
+
+def needed_starts(words: int, share: float) -> int:
+    """Places of the item with a seed that a document with the required share has at least.
+
+    A changed word after every second one leaves a seed at every third place, an added one at every
+    second, so half of the words needed, less what is lost at the ends of two stretches.
+    """
+    return max(1, needed_words(words, share) // 2 - 4)
 
 
 def stretches(item: np.ndarray, text: np.ndarray, gap: int) -> list[tuple[int, int, int, int, int]]:
@@ -169,8 +151,105 @@ def held_share(item: np.ndarray, text: np.ndarray, gap: int = 3) -> float:
     return best / len(item)
 
 
+def _item_words(items: DataFrame, kind: str) -> DataFrame:
+    """(_item, words, _iv): distinct items with at least one word, and the hash of their words."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Hashes()
+        for f in frames:
+            yield pd.DataFrame({"_item": f["_item"], "words": pd.Series([hashed(folded_words(t), known) for t in f["_text"]], dtype=object)})
+
+    rows = items.mapInPandas(run, f"_item {kind}, words array<long>").where(F.size("words") > 0)
+    return rows.withColumn("_iv", F.xxhash64("words")).dropDuplicates(["_item", "_iv"])
+
+
+def _item_seeds(items: DataFrame, kind: str, share: float) -> DataFrame:
+    """(key, _item, _iv) of the seeds that are needed of each item."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            parts = []
+            for name, words, version in f[["_item", "words", "_iv"]].itertuples(index=False):
+                for mask in item_masks(len(words), share):
+                    start, key = seeds(np.asarray(words, np.int64), mask)
+                    parts.append(pd.DataFrame({"key": key, "start": start, "_item": name, "_iv": version, "need": needed_starts(len(words), share)}))
+            yield pd.concat(parts) if parts else pd.DataFrame(columns=["key", "start", "_item", "_iv", "need"])
+
+    rows = items.mapInPandas(run, f"key long, start long, _item {kind}, _iv long, need int")
+    often = rows.groupBy("key").agg(F.count("*").alias("_often"))
+    starts = salted_join(rows, often, ["key"], ["_item"]).groupBy("_item", "_iv", "need", "start").agg(F.sum("_often").alias("_often"), F.collect_set("key").alias("keys"))
+    rank = F.row_number().over(Window.partitionBy("_item", "_iv").orderBy(F.col("_often").desc(), "start"))
+    return starts.withColumn("_rank", rank).where(F.col("_rank") >= F.col("need")).select(F.explode("keys").alias("key"), "_item", "_iv").distinct()
+
+
+def _filter_bits(keys: DataFrame, filter_bits: int) -> np.ndarray:
+    """The filter: bit ``key % size`` is set for every key; its size follows the keys up to the bound."""
+    n = keys.count()
+    bits = min(filter_bits, max(20, int(n * 16).bit_length()))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+
+    def piece(rows: pd.DataFrame) -> pd.DataFrame:
+        here = np.zeros(_PIECE, np.uint8)
+        here[(rows["bit"].to_numpy() % _PIECE)] = 1
+        return pd.DataFrame({"piece": [int(rows["bit"].iloc[0]) // _PIECE], "bits": [np.packbits(here, bitorder="little").tobytes()]})
+
+    at = keys.select(F.pmod("key", F.lit(1 << bits)).alias("bit")).distinct()
+    for row in at.groupBy(F.call_function("div", "bit", F.lit(_PIECE))).applyInPandas(piece, "piece long, bits binary").toLocalIterator():
+        out[row["piece"] * _PIECE // 8 : (row["piece"] + 1) * _PIECE // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _candidates(documents: DataFrame, kind: str, bits, masks: tuple[str, ...], batch_words: int) -> DataFrame:  # noqa: ANN001
+    """(_document, words, keys) of the documents with seeds that pass the filter."""
+
+    def probe(names: list, held: list[np.ndarray], have: np.ndarray) -> pd.DataFrame:
+        words = np.concatenate(held) if held else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
+        code = []
+        size = len(have) * 8
+        for mask in masks:
+            start, key = seeds(words, mask, owner)
+            at = key & (size - 1)
+            some = (have[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            code.append((owner[start[some]], key[some]))
+        doc, key = (np.concatenate(x) for x in zip(*code))
+        order = np.lexsort((key, doc))
+        doc, key = doc[order], key[order]
+        fresh = (np.diff(doc, prepend=-1) != 0) | (np.diff(key, prepend=-1) != 0)
+        doc, key = doc[fresh], key[fresh]
+        first = np.flatnonzero(np.diff(doc, prepend=-1) != 0)
+        which = doc[first]
+        keys = np.split(key, first[1:]) if len(first) else []
+        return pd.DataFrame({"_document": [names[d] for d in which], "words": pd.Series([held[d] for d in which], dtype=object), "keys": pd.Series(keys, dtype=object)})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have, known = bits.value, _Hashes()
+        for frame in frames:
+            names, held, size = [], [], 0
+            for name, text in zip(frame["_document"], frame["_text"]):
+                names.append(name)
+                held.append(hashed(folded_words(text), known))
+                size += len(held[-1])
+                if size >= batch_words:
+                    yield probe(names, held, have)
+                    names, held, size = [], [], 0
+            yield probe(names, held, have)
+
+    return documents.mapInPandas(run, f"_document {kind}, words array<long>, keys array<long>")
+
+
+def _verified(pairs: DataFrame, kinds: tuple[str, str], share: float) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [held_share(np.asarray(i, np.int64), np.asarray(d, np.int64)) for i, d in zip(f["item_words"], f["words"])]
+            f = f[["_document", "_item"]].assign(share=found)
+            yield f[f["share"] >= share - 1e-9]
+
+    return pairs.mapInPandas(run, f"_document {kinds[0]}, _item {kinds[1]}, share double")
+
+
 def leaks(
-    documents: DataFrame, items: DataFrame, *, document: str, item: str, text: str = "text", item_text: str = "text", share: float = 0.4, block_words: int = 2_000_000, batch_words: int = 400_000
+    documents: DataFrame, items: DataFrame, *, document: str, item: str, text: str = "text", item_text: str = "text", share: float = 0.4, filter_bits: int = 30, batch_words: int = 400_000
 ) -> DataFrame:
     """(document, item, share) of every document that holds ``share`` of an item's words.
 
@@ -179,50 +258,25 @@ def leaks(
     nothing.  Rows with one document id and item id give one row, with the largest share; empty
     tables give an empty result.  Where both ids have one name, the item's becomes ``item_``name.
     """
-    spark = documents.sparkSession
-    wanted = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("_item"), F.col(item_text).alias("_text"))
     kinds = dict(documents.dtypes)[document], dict(items.dtypes)[item]
-    schema = f"_document {kinds[0]}, _item {kinds[1]}, share double"
-    words = wanted.agg(F.sum(F.size(F.split("_text", r"\s+"))).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-words // block_words))
+    held = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("_item"), F.col(item_text).alias("_text"))
+    held = cut(_item_words(held, kinds[1]))
+    keys = cut(_item_seeds(held, kinds[1], share))
+    bits = documents.sparkSession.sparkContext.broadcast(_filter_bits(keys.select("key"), filter_bits))
+    # Runs of one to three words are looked for only where an item is so short that it needs them.
+    short = held.agg(*[F.max((_half(F.size("words"), share) == n).cast("int")).alias(f"n{n}") for n in range(1, WIDTH)]).first()
+    masks = (*MASKS, *("1" * n for n in range(1, WIDTH) if short[f"n{n}"]))
     source = documents.where(F.col(document).isNotNull() & F.col(text).isNotNull()).select(F.col(document).alias("_document"), F.col(text).alias("_text"))
-    out = None
-    for b in range(blocks):
-        # One block of items at a time, of a bounded number of words, reaches the driver.
-        rows = wanted.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == b).collect()
-        block = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        found = source.mapInPandas(_finder(block, share, batch_words), schema)
-        out = found if out is None else out.unionAll(found)
+    found = cut(_candidates(source, kinds[0], bits, masks, batch_words).withColumn("_dv", F.xxhash64("words")))
+    asked = found.select("_document", "_dv", F.explode("keys").alias("key"))
+    pairs = cut(salted_join(asked, keys, ["key"], ["_document"]).select("_document", "_dv", "_item", "_iv").distinct())
+    pairs = salted_join(pairs, held.withColumnRenamed("words", "item_words"), ["_item", "_iv"], ["_document", "_dv"])
+    texts = found.dropDuplicates(["_document", "_dv"]).select("_document", "_dv", "words")
+    pairs = pairs.join(texts, ["_document", "_dv"]).select("_document", "_item", "words", "item_words")
     name = item if item != document else f"item_{item}"
-    return out.groupBy(F.col("_document").alias(document), F.col("_item").alias(name)).agg(F.max("share").alias("share"))
-
-
-def _finder(block, share: float, batch_words: int):  # noqa: ANN001, ANN202
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = Items(*block.value, share)
-        get = table.vocabulary.get
-        for frame in frames:
-            names, held, size = [], [], 0
-            for name, words in zip(frame["_document"], map(folded_words, frame["_text"])):
-                names.append(name)
-                held.append(np.array([get(w, 0) for w in words], np.int64))
-                size += len(words)
-                if size >= batch_words:
-                    yield _verified(table, names, held)
-                    names, held, size = [], [], 0
-            yield _verified(table, names, held)
+    return _verified(pairs, kinds, share).groupBy(F.col("_document").alias(document), F.col("_item").alias(name)).agg(F.max("share").alias("share"))
 
-    return run
 
-
-def _verified(table: Items, names: list, held: list[np.ndarray]) -> pd.DataFrame:
-    out = []
-    if names and table.names:
-        ids = np.concatenate(held)
-        owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
-        for pair in table.hits(ids, owner):
-            d, i = divmod(int(pair), len(table.names))
-            found = held_share(table.ids[i], held[d])
-            if found >= table.share - 1e-9:
-                out.append((names[d], table.names[i], found))
-    return pd.DataFrame(out, columns=["_document", "_item", "share"])
+def _half(words: Column, share: float) -> Column:
+    """Half of the words needed, as ``item_masks`` takes it."""
+    return F.ceil(F.greatest(F.lit(1), F.ceil(words * share - 1e-9)) / 2)

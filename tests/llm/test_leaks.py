@@ -29,17 +29,63 @@ DOCS = {
 LEAKING = {1, 2, 3, 5, 7, 8}
 
 
-@pytest.mark.parametrize("block", [10**6, 60])
-def test_planted_passages(spark, block):
+@pytest.mark.parametrize("bits", [30, 20])
+def test_planted_passages(spark, bits):
     docs = spark.createDataFrame([(i, " ".join(w), 5) for i, w in DOCS.items()] + [(1, " ".join(ITEM), 5), (90, None, 1), (91, "", 1), (None, "x", 1)], "id int, text string, share int")
     items = spark.createDataFrame([(1, ", ".join(ITEM)), (2, " ".join(FILL[200:])), (3, None), (4, ""), (5, " ".join(ITEM))], "id int, text string")
-    got = leaks(docs, items, document="id", item="id", block_words=block)
+    got = leaks(docs, items, document="id", item="id", filter_bits=bits)
     assert got.columns == ["id", "item_id", "share"]
     rows = got.collect()
     assert len(rows) == len({(r["id"], r["item_id"]) for r in rows})
     assert {(r["id"], r["item_id"]) for r in rows} == {(i, k) for i in LEAKING for k in (1, 5)} | {(6, 2)}
 
 
+def dense(words, every, how):
+    out = []
+    for k, w in enumerate(words):
+        edit = k % every == every - 1
+        if how == "added":
+            out += [w, f"new{k}"] if edit else [w]
+        elif how == "changed":
+            out.append(f"new{k}" if edit else w)
+        elif not edit:
+            out.append(w)
+    return out
+
+
+def test_dense_edits(spark):
+    """Words added after, put in place of, or left out after every second to fourth word."""
+    cases = [(e, h) for h in ("added", "changed", "left out") for e in (2, 3, 4)]
+    texts = [dense(ITEM, e, h) for e, h in cases]
+    docs = spark.createDataFrame([(i, " ".join(FILL[:20] + t)) for i, t in enumerate(texts)], "id int, text string")
+    items = spark.createDataFrame([(1, " ".join(ITEM))], "item int, text string")
+    got = {r["id"]: r["share"] for r in leaks(docs, items, document="id", item="item").collect()}
+    # Runs of single words are no stretch; every other case is one.
+    assert set(got) == {i for i, (e, h) in enumerate(cases) if (e, h) not in ((2, "changed"), (2, "left out"))}
+    assert all(got[i] > 0.45 for i in got)
+
+
+def test_same_as_all_pairs(spark):
+    """Against the comparison of every document with every item, on texts that share moulds."""
+    import numpy as np
+
+    rng = random.Random(3)
+    moulds = [[rng.choice(WORDS) for _ in range(12)] for _ in range(6)]
+    text = lambda n: [w for _ in range(n) for w in (rng.choice(moulds)[:8] + [rng.choice(WORDS) for _ in range(6)])]
+    items = {k: text(rng.randint(1, 6)) for k in range(12)}
+    docs = {}
+    for d in range(80):
+        item = items[rng.randrange(12)]
+        a, n = rng.randrange(len(item)), rng.randint(3, len(item))
+        docs[d] = text(2) + passage(item[a : a + n], rng.randint(0, n // 5)) + text(1) + item[: rng.randint(0, len(item) // 3)]
+    number = {w: k for k, w in enumerate(sorted({w for x in [*docs.values(), *items.values()] for w in x}))}
+    ids = lambda words: np.array([number[w] for w in words])
+    want = {(d, i) for d, x in docs.items() for i, y in items.items() if held_share(ids(y), ids(x)) >= 0.4 - 1e-9}
+    frame = lambda rows, key: spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], f"{key} int, text string")
+    got = {(r["id"], r["item"]) for r in leaks(frame(docs, "id"), frame(items, "item"), document="id", item="item").collect()}
+    assert got == want and len(want) > 40
+
+
 def test_short_items_and_long_documents(spark):
     docs = spark.createDataFrame([(1, "one two three"), (2, " ".join(FILL * 60 + ["alpha", "beta"])), (3, "zero")], "id int, text string")
     items = spark.createDataFrame([(1, "one two"), (2, "alpha beta gamma")], "item int, text string")
