@@ -8,14 +8,15 @@ and the pairs (document, item) that meet are verified: runs of equal words are c
 changed or added words into stretches, and one or two stretches in the item's order must hold the
 required share of its words.
 
-Not all seeds of an item are needed.  A document that holds the required share with edits at least
-two words apart has seeds at ``needed_starts`` or more places of the item, so all but the rarest places
-are left out, one fewer than that number, and every such document still meets one of the rest.
-
-The corpus is read once, without a shuffle.  A filter over the items' seeds (a bit for each hash, of
-at most ``2**filter_bits`` bits whatever the number of items, the only thing that passes the driver)
-decides where a document is read which of its seeds go into the join; documents without any, which
-are nearly all of a corpus, end there.
+Places of an item where a document has a seed are counted for each pair.  A document that holds the
+required share with edits at least two words apart has seeds at ``needed_starts`` or more places, so
+half that number of an item's places, those whose seeds most items have, may be left out, and every
+such document still meets the other half.  Pairs with fewer are not verified.
+
+The corpus is read once.  Where the items have at most ``broadcast_seeds`` seeds, their table is
+broadcast, and documents are joined, counted and verified where they are read, without a shuffle.
+Beyond that the keys of the documents are shuffled to those of the items; a filter (a bit for each
+hash, at most ``2**filter_bits`` bits whatever the number of items) first takes out what no item has.
 """
 
 from __future__ import annotations
@@ -164,27 +165,103 @@ def _item_words(items: DataFrame, kind: str) -> DataFrame:
 
 
 def _item_seeds(items: DataFrame, kind: str, share: float) -> DataFrame:
-    """(key, _item, _iv) of the seeds that are needed of each item."""
+    """(key, _item, _iv, start, least) of the seeds kept of each item; ``least`` places must be met."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            parts = []
+            parts = [pd.DataFrame(columns=["key", "start", "_item", "_iv", "need"])]
             for name, words, version in f[["_item", "words", "_iv"]].itertuples(index=False):
                 for mask in item_masks(len(words), share):
                     start, key = seeds(np.asarray(words, np.int64), mask)
                     parts.append(pd.DataFrame({"key": key, "start": start, "_item": name, "_iv": version, "need": needed_starts(len(words), share)}))
-            yield pd.concat(parts) if parts else pd.DataFrame(columns=["key", "start", "_item", "_iv", "need"])
+            yield pd.concat(parts[1:] or parts)
 
-    rows = items.mapInPandas(run, f"key long, start long, _item {kind}, _iv long, need int")
+    rows = items.mapInPandas(run, f"key long, start int, _item {kind}, _iv long, need int")
     often = rows.groupBy("key").agg(F.count("*").alias("_often"))
     starts = salted_join(rows, often, ["key"], ["_item"]).groupBy("_item", "_iv", "need", "start").agg(F.sum("_often").alias("_often"), F.collect_set("key").alias("keys"))
     rank = F.row_number().over(Window.partitionBy("_item", "_iv").orderBy(F.col("_often").desc(), "start"))
-    return starts.withColumn("_rank", rank).where(F.col("_rank") >= F.col("need")).select(F.explode("keys").alias("key"), "_item", "_iv").distinct()
+    left_out = F.floor(F.col("need") / 2).cast("int")
+    kept = starts.withColumn("_rank", rank).where(F.col("_rank") > left_out)
+    return kept.select(F.explode("keys").alias("key"), "_item", "_iv", "start", (F.col("need") - left_out).alias("least"))
+
+
+class Table:
+    """The seeds and words of all items, sorted for the join where the documents are read."""
+
+    def __init__(self, items: pd.DataFrame, rows: pd.DataFrame):
+        self.items = items["_item"].tolist()
+        self.words = [np.asarray(w, np.int64) for w in items["words"]]
+        number = {k: i for i, k in enumerate(zip(self.items, items["_iv"]))}
+        item = np.array([number[k] for k in zip(rows["_item"], rows["_iv"])], np.int64)
+        self.least = np.ones(len(self.items), np.int64)
+        self.least[item] = rows["least"]
+        order = np.argsort(rows["key"].to_numpy(np.int64), kind="stable")
+        self.keys = rows["key"].to_numpy(np.int64)[order]
+        #: Item and start of each seed in one number.
+        self.width = int(rows["start"].max()) + 1 if len(rows) else 1
+        self.place = (item * self.width + rows["start"].to_numpy(np.int64))[order] if len(rows) else np.zeros(0, np.int64)
+        # Most seeds of a corpus are of no item: one look at a table of bits tells.
+        self.bits = max(16, int(len(self.keys) * 16).bit_length())
+        self.have = np.zeros(1 << self.bits, bool)
+        self.have[self.keys & ((1 << self.bits) - 1)] = True
+
+    def pairs(self, words: np.ndarray, owner: np.ndarray, masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(document, item) that meet at as many places as the item wants."""
+        docs, places = [], []
+        for mask in masks:
+            start, key = seeds(words, mask, owner)
+            some = self.have[key & ((1 << self.bits) - 1)]
+            start, key = start[some], key[some]
+            low, high = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+            n = high - low
+            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            docs.append(np.repeat(owner[start], n))
+            places.append(self.place[entry])
+        doc, place = np.concatenate(docs), np.concatenate(places)
+        whole = len(self.items) * self.width
+        # Every document of the batch with all items is one range of numbers: places sort by pair.
+        code = np.sort(doc * whole + place)
+        code = code[np.diff(code, prepend=-1) != 0]
+        pair = code // self.width
+        first = np.flatnonzero(np.diff(pair, prepend=-1) != 0)
+        pair, n = pair[first], np.diff(first, append=len(pair))
+        doc, item = np.divmod(pair, max(len(self.items), 1))
+        enough = n >= self.least[item]
+        return doc[enough], item[enough]
+
+
+def _batches(frames: Iterator[pd.DataFrame], batch_words: int) -> Iterator[tuple[list, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(ids, words of each document, words, document of each word) of about ``batch_words`` words."""
+    known = _Hashes()
+    for frame in frames:
+        names, held, size = [], [], 0
+        for k, (name, text) in enumerate(zip(frame["_document"], frame["_text"]), 1):
+            names.append(name)
+            held.append(hashed(folded_words(text), known))
+            size += len(held[-1])
+            if size >= batch_words or k == len(frame):
+                yield names, held, np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
+                names, held, size = [], [], 0
+
+
+def _joined_at_reading(documents: DataFrame, kinds: tuple[str, str], table, masks: tuple[str, ...], share: float, batch_words: int) -> DataFrame:  # noqa: ANN001
+    """(_document, _item, share) by a broadcast ``Table``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items = table.value
+        for names, held, words, owner in _batches(frames, batch_words):
+            out = []
+            for d, i in zip(*(x.tolist() for x in items.pairs(words, owner, masks))):
+                found = held_share(items.words[i], held[d])
+                if found >= share - 1e-9:
+                    out.append((names[d], items.items[i], found))
+            yield pd.DataFrame(out, columns=["_document", "_item", "share"])
 
+    return documents.mapInPandas(run, f"_document {kinds[0]}, _item {kinds[1]}, share double")
 
-def _filter_bits(keys: DataFrame, filter_bits: int) -> np.ndarray:
+
+def _filter_bits(keys: DataFrame, n: int, filter_bits: int) -> np.ndarray:
     """The filter: bit ``key % size`` is set for every key; its size follows the keys up to the bound."""
-    n = keys.count()
     bits = min(filter_bits, max(20, int(n * 16).bit_length()))
     out = np.zeros((1 << bits) // 8, np.uint8)
 
@@ -199,58 +276,49 @@ def _filter_bits(keys: DataFrame, filter_bits: int) -> np.ndarray:
     return out
 
 
-def _candidates(documents: DataFrame, kind: str, bits, masks: tuple[str, ...], batch_words: int) -> DataFrame:  # noqa: ANN001
-    """(_document, words, keys) of the documents with seeds that pass the filter."""
-
-    def probe(names: list, held: list[np.ndarray], have: np.ndarray) -> pd.DataFrame:
-        words = np.concatenate(held) if held else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
-        code = []
-        size = len(have) * 8
-        for mask in masks:
-            start, key = seeds(words, mask, owner)
-            at = key & (size - 1)
-            some = (have[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            code.append((owner[start[some]], key[some]))
-        doc, key = (np.concatenate(x) for x in zip(*code))
-        order = np.lexsort((key, doc))
-        doc, key = doc[order], key[order]
-        fresh = (np.diff(doc, prepend=-1) != 0) | (np.diff(key, prepend=-1) != 0)
-        doc, key = doc[fresh], key[fresh]
-        first = np.flatnonzero(np.diff(doc, prepend=-1) != 0)
-        which = doc[first]
-        keys = np.split(key, first[1:]) if len(first) else []
-        return pd.DataFrame({"_document": [names[d] for d in which], "words": pd.Series([held[d] for d in which], dtype=object), "keys": pd.Series(keys, dtype=object)})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        have, known = bits.value, _Hashes()
-        for frame in frames:
-            names, held, size = [], [], 0
-            for name, text in zip(frame["_document"], frame["_text"]):
-                names.append(name)
-                held.append(hashed(folded_words(text), known))
-                size += len(held[-1])
-                if size >= batch_words:
-                    yield probe(names, held, have)
-                    names, held, size = [], [], 0
-            yield probe(names, held, have)
-
-    return documents.mapInPandas(run, f"_document {kind}, words array<long>, keys array<long>")
-
-
-def _verified(pairs: DataFrame, kinds: tuple[str, str], share: float) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _joined_by_shuffle(documents: DataFrame, kinds: tuple[str, str], items: DataFrame, keys: DataFrame, bits, masks: tuple[str, ...], share: float, batch_words: int) -> DataFrame:  # noqa: ANN001
+    """(_document, _item, share) by a shuffled join of the keys that pass the filter."""
+
+    def passed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have = bits.value
+        for names, held, words, owner in _batches(frames, batch_words):
+            docs, keys_ = [], []
+            for mask in masks:
+                start, key = seeds(words, mask, owner)
+                at = key & (len(have) * 8 - 1)
+                some = (have[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+                docs.append(owner[start[some]])
+                keys_.append(key[some])
+            doc, key = np.concatenate(docs), np.concatenate(keys_)
+            order = np.lexsort((key, doc))
+            doc, key = doc[order], key[order]
+            fresh = (np.diff(doc, prepend=-1) != 0) | (np.diff(key, prepend=-1) != 0)
+            doc, key = doc[fresh], key[fresh]
+            first = np.flatnonzero(np.diff(doc, prepend=-1) != 0)
+            which = doc[first]
+            each = np.split(key, first[1:]) if len(first) else []
+            yield pd.DataFrame({"_document": [names[d] for d in which], "words": pd.Series([held[d] for d in which], dtype=object), "keys": pd.Series(each, dtype=object)})
+
+    def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             found = [held_share(np.asarray(i, np.int64), np.asarray(d, np.int64)) for i, d in zip(f["item_words"], f["words"])]
             f = f[["_document", "_item"]].assign(share=found)
             yield f[f["share"] >= share - 1e-9]
 
-    return pairs.mapInPandas(run, f"_document {kinds[0]}, _item {kinds[1]}, share double")
+    found = documents.mapInPandas(passed, f"_document {kinds[0]}, words array<long>, keys array<long>")
+    found = cut(found.withColumn("_dv", F.xxhash64("words")).dropDuplicates(["_document", "_dv"]))
+    asked = found.select("_document", "_dv", F.explode("keys").alias("key"))
+    met = salted_join(asked, keys, ["key"], ["_document"]).select("_document", "_dv", "_item", "_iv", "least", "start").distinct()
+    pairs = cut(met.groupBy("_document", "_dv", "_item", "_iv", "least").agg(F.count("*").alias("_n")).where(F.col("_n") >= F.col("least")))
+    pairs = salted_join(pairs, items.withColumnRenamed("words", "item_words"), ["_item", "_iv"], ["_document", "_dv"])
+    pairs = pairs.join(found.drop("keys"), ["_document", "_dv"]).select("_document", "_item", "words", "item_words")
+    return pairs.mapInPandas(verified, f"_document {kinds[0]}, _item {kinds[1]}, share double")
 
 
 def leaks(
-    documents: DataFrame, items: DataFrame, *, document: str, item: str, text: str = "text", item_text: str = "text", share: float = 0.4, filter_bits: int = 30, batch_words: int = 400_000
-) -> DataFrame:
+    documents: DataFrame, items: DataFrame, *, document: str, item: str, text: str = "text", item_text: str = "text", share: float = 0.4,
+    broadcast_seeds: int = 8_000_000, filter_bits: int = 30, batch_words: int = 400_000,
+) -> DataFrame:
     """(document, item, share) of every document that holds ``share`` of an item's words.
 
     Letter case, punctuation, layout, accents and look-alike characters don't count, nor do single
@@ -259,22 +327,23 @@ def leaks(
     tables give an empty result.  Where both ids have one name, the item's becomes ``item_``name.
     """
     kinds = dict(documents.dtypes)[document], dict(items.dtypes)[item]
+    context = documents.sparkSession.sparkContext
     held = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("_item"), F.col(item_text).alias("_text"))
     held = cut(_item_words(held, kinds[1]))
     keys = cut(_item_seeds(held, kinds[1], share))
-    bits = documents.sparkSession.sparkContext.broadcast(_filter_bits(keys.select("key"), filter_bits))
     # Runs of one to three words are looked for only where an item is so short that it needs them.
     short = held.agg(*[F.max((_half(F.size("words"), share) == n).cast("int")).alias(f"n{n}") for n in range(1, WIDTH)]).first()
     masks = (*MASKS, *("1" * n for n in range(1, WIDTH) if short[f"n{n}"]))
     source = documents.where(F.col(document).isNotNull() & F.col(text).isNotNull()).select(F.col(document).alias("_document"), F.col(text).alias("_text"))
-    found = cut(_candidates(source, kinds[0], bits, masks, batch_words).withColumn("_dv", F.xxhash64("words")))
-    asked = found.select("_document", "_dv", F.explode("keys").alias("key"))
-    pairs = cut(salted_join(asked, keys, ["key"], ["_document"]).select("_document", "_dv", "_item", "_iv").distinct())
-    pairs = salted_join(pairs, held.withColumnRenamed("words", "item_words"), ["_item", "_iv"], ["_document", "_dv"])
-    texts = found.dropDuplicates(["_document", "_dv"]).select("_document", "_dv", "words")
-    pairs = pairs.join(texts, ["_document", "_dv"]).select("_document", "_item", "words", "item_words")
+    n = keys.count()
+    if n <= broadcast_seeds:
+        table = context.broadcast(Table(held.toPandas(), keys.toPandas()))
+        found = _joined_at_reading(source, kinds, table, masks, share, batch_words)
+    else:
+        bits = context.broadcast(_filter_bits(keys, n, filter_bits))
+        found = _joined_by_shuffle(source, kinds, held, keys, bits, masks, share, batch_words)
     name = item if item != document else f"item_{item}"
-    return _verified(pairs, kinds, share).groupBy(F.col("_document").alias(document), F.col("_item").alias(name)).agg(F.max("share").alias("share"))
+    return found.groupBy(F.col("_document").alias(document), F.col("_item").alias(name)).agg(F.max("share").alias("share"))
 
 
 def _half(words: Column, share: float) -> Column:

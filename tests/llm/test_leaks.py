@@ -29,11 +29,11 @@ DOCS = {
 LEAKING = {1, 2, 3, 5, 7, 8}
 
 
-@pytest.mark.parametrize("bits", [30, 20])
-def test_planted_passages(spark, bits):
+@pytest.mark.parametrize("seeds", [10**6, 0])
+def test_planted_passages(spark, seeds):
     docs = spark.createDataFrame([(i, " ".join(w), 5) for i, w in DOCS.items()] + [(1, " ".join(ITEM), 5), (90, None, 1), (91, "", 1), (None, "x", 1)], "id int, text string, share int")
     items = spark.createDataFrame([(1, ", ".join(ITEM)), (2, " ".join(FILL[200:])), (3, None), (4, ""), (5, " ".join(ITEM))], "id int, text string")
-    got = leaks(docs, items, document="id", item="id", filter_bits=bits)
+    got = leaks(docs, items, document="id", item="id", broadcast_seeds=seeds)
     assert got.columns == ["id", "item_id", "share"]
     rows = got.collect()
     assert len(rows) == len({(r["id"], r["item_id"]) for r in rows})
@@ -82,8 +82,9 @@ def test_same_as_all_pairs(spark):
     ids = lambda words: np.array([number[w] for w in words])
     want = {(d, i) for d, x in docs.items() for i, y in items.items() if held_share(ids(y), ids(x)) >= 0.4 - 1e-9}
     frame = lambda rows, key: spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], f"{key} int, text string")
-    got = {(r["id"], r["item"]) for r in leaks(frame(docs, "id"), frame(items, "item"), document="id", item="item").collect()}
-    assert got == want and len(want) > 40
+    for seeds in (10**6, 0):
+        got = {(r["id"], r["item"]) for r in leaks(frame(docs, "id"), frame(items, "item"), document="id", item="item", broadcast_seeds=seeds).collect()}
+        assert got == want and len(want) > 40
 
 
 def test_short_items_and_long_documents(spark):
@@ -94,8 +95,9 @@ def test_short_items_and_long_documents(spark):
 
 def test_empty_tables(spark):
     some, none = spark.createDataFrame([(1, "a b c")], "id int, text string"), spark.createDataFrame([], "id int, text string")
-    assert leaks(none, some, document="id", item="id").count() == 0
-    assert leaks(some, none, document="id", item="id").count() == 0
+    for seeds in (10**6, -1):
+        assert leaks(none, some, document="id", item="id", broadcast_seeds=seeds).count() == 0
+        assert leaks(some, none, document="id", item="id", broadcast_seeds=seeds).count() == 0
 
 
 def test_look_alikes_fold():
