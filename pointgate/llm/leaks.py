@@ -152,6 +152,45 @@ def held_share(item: np.ndarray, text: np.ndarray, gap: int = 3) -> float:
     return best / len(item)
 
 
+def bigrams(words: np.ndarray) -> np.ndarray:
+    """A hash of each word with the next."""
+    return words[:-1] * np.int64(0x9E3779B97F4A7C1) + words[1:]
+
+
+def may_hold(item: np.ndarray, ordered: np.ndarray, need: int) -> bool:
+    """Whether enough words of an item stand beside a neighbour of theirs somewhere in the text.
+
+    Stretches consist of runs of two or more words (of items of five words or more), so a text that
+    fails this holds too little.  ``item`` and ``ordered`` are bigrams, those of the text sorted.
+    """
+    at = np.searchsorted(ordered, item)
+    met = np.zeros(len(item) + 2, bool)
+    met[1:-1] = ordered[np.minimum(at, len(ordered) - 1)] == item if len(ordered) else False
+    return int((met[1:] | met[:-1]).sum()) >= need
+
+
+class Verifier:
+    """``held_share`` of pairs, with what belongs to a document or an item computed once while it repeats."""
+
+    def __init__(self, share: float):
+        self.share, self.text, self.ordered = share, None, None
+        self.items: dict = {}
+
+    def holds(self, key: object, item: np.ndarray, text: np.ndarray) -> float | None:
+        """The share of the item's words that the text holds if it is large enough; ``key`` names the item."""
+        if len(item) >= 5:
+            if text is not self.text:
+                self.text, self.ordered = text, np.sort(bigrams(text))
+            if key not in self.items:
+                if len(self.items) > 100_000:
+                    self.items.clear()
+                self.items[key] = bigrams(item), needed_words(len(item), self.share)
+            if not may_hold(self.items[key][0], self.ordered, self.items[key][1]):
+                return None
+        found = held_share(item, text)
+        return found if found >= self.share - 1e-9 else None
+
+
 def _item_words(items: DataFrame, kind: str) -> DataFrame:
     """(_item, words, _iv): distinct items with at least one word, and the hash of their words."""
 
@@ -248,12 +287,11 @@ def _joined_at_reading(documents: DataFrame, kinds: tuple[str, str], table, mask
     """(_document, _item, share) by a broadcast ``Table``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = table.value
+        items, verifier = table.value, Verifier(share)
         for names, held, words, owner in _batches(frames, batch_words):
             out = []
             for d, i in zip(*(x.tolist() for x in items.pairs(words, owner, masks))):
-                found = held_share(items.words[i], held[d])
-                if found >= share - 1e-9:
+                if (found := verifier.holds(i, items.words[i], held[d])) is not None:
                     out.append((names[d], items.items[i], found))
             yield pd.DataFrame(out, columns=["_document", "_item", "share"])
 
@@ -300,10 +338,11 @@ def _joined_by_shuffle(documents: DataFrame, kinds: tuple[str, str], items: Data
             yield pd.DataFrame({"_document": [names[d] for d in which], "words": pd.Series([held[d] for d in which], dtype=object), "keys": pd.Series(each, dtype=object)})
 
     def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        verifier = Verifier(share)
         for f in frames:
-            found = [held_share(np.asarray(i, np.int64), np.asarray(d, np.int64)) for i, d in zip(f["item_words"], f["words"])]
-            f = f[["_document", "_item"]].assign(share=found)
-            yield f[f["share"] >= share - 1e-9]
+            found = [verifier.holds((k, v), np.asarray(i, np.int64), np.asarray(d, np.int64)) for k, v, i, d in zip(f["_item"], f["_iv"], f["item_words"], f["words"])]
+            f = f[["_document", "_item"]].assign(share=pd.Series(found, dtype=float, index=f.index))
+            yield f[f["share"].notna()]
 
     found = documents.mapInPandas(passed, f"_document {kinds[0]}, words array<long>, keys array<long>")
     found = cut(found.withColumn("_dv", F.xxhash64("words")).dropDuplicates(["_document", "_dv"]))
@@ -311,7 +350,7 @@ def _joined_by_shuffle(documents: DataFrame, kinds: tuple[str, str], items: Data
     met = salted_join(asked, keys, ["key"], ["_document"]).select("_document", "_dv", "_item", "_iv", "least", "start").distinct()
     pairs = cut(met.groupBy("_document", "_dv", "_item", "_iv", "least").agg(F.count("*").alias("_n")).where(F.col("_n") >= F.col("least")))
     pairs = salted_join(pairs, items.withColumnRenamed("words", "item_words"), ["_item", "_iv"], ["_document", "_dv"])
-    pairs = pairs.join(found.drop("keys"), ["_document", "_dv"]).select("_document", "_item", "words", "item_words")
+    pairs = pairs.join(found.drop("keys"), ["_document", "_dv"]).select("_document", "_item", "_iv", "words", "item_words")
     return pairs.mapInPandas(verified, f"_document {kinds[0]}, _item {kinds[1]}, share double")
 
 
