@@ -9,9 +9,8 @@ changed or added words into stretches, and one or two stretches in the item's or
 required share of its words.
 
 Places of an item where a document has a seed are counted for each pair.  A document that holds the
-required share with edits at least two words apart has seeds at ``needed_starts`` or more places, so
-half that number of an item's places, those whose seeds most items have, may be left out, and every
-such document still meets the other half.  Pairs with fewer are not verified.
+required share with edits at least two words apart has seeds at ``needed_starts`` or more places; pairs
+with fewer are not verified.
 
 The corpus is read once.  Where the items have at most ``broadcast_seeds`` seeds, their table is
 broadcast, and documents are joined, counted and verified where they are read, without a shuffle.
@@ -26,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointgate.llm.lookalikes import folded_words
@@ -157,35 +156,52 @@ def bigrams(words: np.ndarray) -> np.ndarray:
     return words[:-1] * np.int64(0x9E3779B97F4A7C1) + words[1:]
 
 
-def may_hold(item: np.ndarray, ordered: np.ndarray, need: int) -> bool:
-    """Whether enough words of an item stand beside a neighbour of theirs somewhere in the text.
+def may_hold(item: np.ndarray, item_sorted: np.ndarray, text: np.ndarray, text_sorted: np.ndarray, need: int, gap: int = 3) -> bool:
+    """Whether a text can hold ``need`` words of an item in one or two stretches; both are given as bigrams.
 
-    Stretches consist of runs of two or more words (of items of five words or more), so a text that
-    fails this holds too little.  ``item`` and ``ordered`` are bigrams, those of the text sorted.
+    Stretches consist of runs of two or more words (of items of five words or more), so each held
+    word stands beside a neighbour that it has in the other text too.  There must be enough such
+    words of the item, and in the text half of them near each other: the larger stretch has that
+    many, with no more than ``gap`` words between two runs.
     """
-    at = np.searchsorted(ordered, item)
-    met = np.zeros(len(item) + 2, bool)
-    met[1:-1] = ordered[np.minimum(at, len(ordered) - 1)] == item if len(ordered) else False
-    return int((met[1:] | met[:-1]).sum()) >= need
+    if _beside(item, text_sorted).sum() < need:
+        return False
+    half = -(-need // 2)
+    span = half + gap * half // 2 + 1
+    held = np.cumsum(_beside(text, item_sorted))
+    most = held[-1] if len(held) <= span else max(held[span - 1], (held[span:] - held[:-span]).max())
+    return int(most) >= half
+
+
+def _beside(words: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Of bigrams: which of the words belong to one that the sorted ``other`` has too."""
+    met = np.zeros(len(words) + 2, bool)
+    if len(other):
+        at = np.searchsorted(other, words)
+        met[1:-1] = other[np.minimum(at, len(other) - 1)] == words
+    return met[1:] | met[:-1]
 
 
 class Verifier:
     """``held_share`` of pairs, with what belongs to a document or an item computed once while it repeats."""
 
     def __init__(self, share: float):
-        self.share, self.text, self.ordered = share, None, None
+        self.share, self.text, self.pairs, self.ordered = share, None, None, None
         self.items: dict = {}
 
     def holds(self, key: object, item: np.ndarray, text: np.ndarray) -> float | None:
         """The share of the item's words that the text holds if it is large enough; ``key`` names the item."""
         if len(item) >= 5:
             if text is not self.text:
-                self.text, self.ordered = text, np.sort(bigrams(text))
+                self.text, self.pairs = text, bigrams(text)
+                self.ordered = np.sort(self.pairs)
             if key not in self.items:
                 if len(self.items) > 100_000:
                     self.items.clear()
-                self.items[key] = bigrams(item), needed_words(len(item), self.share)
-            if not may_hold(self.items[key][0], self.ordered, self.items[key][1]):
+                pairs = bigrams(item)
+                self.items[key] = pairs, np.sort(pairs), needed_words(len(item), self.share)
+            pairs, ordered, need = self.items[key]
+            if not may_hold(pairs, ordered, self.pairs, self.ordered, need):
                 return None
         found = held_share(item, text)
         return found if found >= self.share - 1e-9 else None
@@ -204,24 +220,18 @@ def _item_words(items: DataFrame, kind: str) -> DataFrame:
 
 
 def _item_seeds(items: DataFrame, kind: str, share: float) -> DataFrame:
-    """(key, _item, _iv, start, least) of the seeds kept of each item; ``least`` places must be met."""
+    """(key, _item, _iv, start, least) of the seeds of each item; ``least`` places must be met."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            parts = [pd.DataFrame(columns=["key", "start", "_item", "_iv", "need"])]
+            parts = [pd.DataFrame(columns=["key", "start", "_item", "_iv", "least"])]
             for name, words, version in f[["_item", "words", "_iv"]].itertuples(index=False):
                 for mask in item_masks(len(words), share):
                     start, key = seeds(np.asarray(words, np.int64), mask)
-                    parts.append(pd.DataFrame({"key": key, "start": start, "_item": name, "_iv": version, "need": needed_starts(len(words), share)}))
+                    parts.append(pd.DataFrame({"key": key, "start": start, "_item": name, "_iv": version, "least": needed_starts(len(words), share)}))
             yield pd.concat(parts[1:] or parts)
 
-    rows = items.mapInPandas(run, f"key long, start int, _item {kind}, _iv long, need int")
-    often = rows.groupBy("key").agg(F.count("*").alias("_often"))
-    starts = salted_join(rows, often, ["key"], ["_item"]).groupBy("_item", "_iv", "need", "start").agg(F.sum("_often").alias("_often"), F.collect_set("key").alias("keys"))
-    rank = F.row_number().over(Window.partitionBy("_item", "_iv").orderBy(F.col("_often").desc(), "start"))
-    left_out = F.floor(F.col("need") / 2).cast("int")
-    kept = starts.withColumn("_rank", rank).where(F.col("_rank") > left_out)
-    return kept.select(F.explode("keys").alias("key"), "_item", "_iv", "start", (F.col("need") - left_out).alias("least"))
+    return items.mapInPandas(run, f"key long, start int, _item {kind}, _iv long, least int")
 
 
 class Table:
