@@ -245,7 +245,7 @@ class Table:
         self.least = np.ones(len(self.items), np.int64)
         self.least[item] = rows["least"]
         order = np.argsort(rows["key"].to_numpy(np.int64), kind="stable")
-        self.keys = rows["key"].to_numpy(np.int64)[order]
+        self.keys, self.begin, self.count = np.unique(rows["key"].to_numpy(np.int64)[order], return_index=True, return_counts=True)
         #: Item and start of each seed in one number.
         self.width = int(rows["start"].max()) + 1 if len(rows) else 1
         self.place = (item * self.width + rows["start"].to_numpy(np.int64))[order] if len(rows) else np.zeros(0, np.int64)
@@ -261,9 +261,11 @@ class Table:
             start, key = seeds(words, mask, owner)
             some = self.have[key & ((1 << self.bits) - 1)]
             start, key = start[some], key[some]
-            low, high = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-            n = high - low
-            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+            some = self.keys[at] == key if len(key) else np.zeros(0, bool)
+            start, at = start[some], at[some]
+            n = self.count[at]
+            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[at], n)
             docs.append(np.repeat(owner[start], n))
             places.append(self.place[entry])
         doc, place = np.concatenate(docs), np.concatenate(places)
