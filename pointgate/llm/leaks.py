@@ -136,7 +136,11 @@ def stretches(item: np.ndarray, text: np.ndarray, gap: int) -> list[tuple[int, i
 
 
 def held_share(item: np.ndarray, text: np.ndarray, gap: int = 3) -> float:
-    """The largest share of the item's words in one stretch, or in two that keep the item's order."""
+    """The largest share of the item's words in one stretch, or in two that keep the item's order.
+
+    Where a foreign sentence parts a passage, its first or last words may be the item's next ones
+    by chance; two stretches may therefore overlap by ``gap`` words, which count once.
+    """
     chains = stretches(item, text, gap)
     if not chains:
         return 0.0
@@ -145,9 +149,11 @@ def held_share(item: np.ndarray, text: np.ndarray, gap: int = 3) -> float:
     for first in c:
         if 2 * first[0] <= best:
             break
-        apart = ((c[:, 1] >= first[2]) & (c[:, 3] >= first[4])) | ((c[:, 2] <= first[1]) & (c[:, 4] <= first[3]))
-        if apart.any():
-            best = max(best, int(first[0] + c[apart, 0].max()))
+        for before, after in (((first[2], first[4]), (c[:, 1], c[:, 3])), ((c[:, 2], c[:, 4]), (first[1], first[3]))):
+            over = np.maximum(np.maximum(before[0] - after[0], before[1] - after[1]), 0)
+            apart = over <= gap
+            if apart.any():
+                best = max(best, int(first[0] + (c[apart, 0] - over[apart]).max()))
     return best / len(item)
 
 

@@ -111,3 +111,12 @@ def test_order_of_stretches_counts():
     item = np.arange(1, 101)
     assert held_share(item, np.concatenate([item[:25], np.zeros(30, int), item[50:75]])) == pytest.approx(0.5)
     assert held_share(item, np.concatenate([item[50:75], np.zeros(30, int), item[:25]])) == pytest.approx(0.25)
+
+
+def test_words_met_by_chance_at_a_break():
+    """A passage parted by a sentence that begins with the word that would have come next."""
+    import numpy as np
+
+    item = np.arange(1, 101)
+    text = np.concatenate([item[:30], [31], np.zeros(20, int), item[30:60]])
+    assert held_share(item, text) == pytest.approx(0.6)
