@@ -24,6 +24,9 @@ LOOK_ALIKES = {
     "ɑ": "a", "ɡ": "g", "ı": "i", "ʏ": "Y", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "ɩ": "i", "ȷ": "j",
 }
 
+#: Letters that look like more than one letter; the words around tell which.
+AMBIGUOUS = {"\u04c0": ("I", "l"), "\u04cf": ("l", "I"), "\u01c0": ("\u01c0", "l", "I"), "\u03c5": ("u", "v"), "\u0269": ("i", "l")}
+
 _IGNORABLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0000-\U000e0fff]")
 _SILENT = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x84\x86-\x9f]")
 
@@ -47,6 +50,20 @@ def shape(ch: str) -> str:
     return LOOK_ALIKES.get(ch, ch)
 
 
+def looks(ch: str) -> tuple[str, ...]:
+    """All that a character may look like, the table's shape first."""
+    return AMBIGUOUS.get(ch) or (shape(ch),)
+
+
+#: One letter for all that an ambiguous letter may look like.
+_COARSE = str.maketrans({"I": "l", "i": "l", "\u01c0": "l", "v": "u"})
+
+
+def coarse(text: str) -> str:
+    """Equal for all texts that may look the same, also by an ambiguous letter; some others are equal too."""
+    return skeleton(text).translate(_COARSE)
+
+
 class _Shapes(dict):
     """Table for ``str.translate`` that fills itself with the shapes of the characters it meets."""
 

@@ -1,26 +1,34 @@
 """One form for texts that look the same, by vocabulary tries and a weighted edit automaton.
 
 The vocabulary holds the spellings of the whole corpus that are clean: no invisible characters, no
-wide or decomposed forms, letters of one script.  Every other spelling walks the trie of the
-vocabulary: a step over an equal or look-alike letter costs nothing, nor does an invisible
-character or an accent written apart; any other edit costs ``1``.  Of the spellings reached within
-``budget`` (0 for visual identity) the cheapest, then the plainest, then the most frequent becomes
-canonical.  Tokens that reach nothing are written by the table of ``lookalikes``.
-
-Looking the same is an equivalence, and equal looks have an equal table form; tries are therefore
-cut by the hash of that form, each of a bounded number of words, and no walk needs two of them.
+wide or decomposed forms, letters of one script.  Spellings walk the tries of the vocabulary as they
+stand: a step over an equal or look-alike letter costs nothing, nor does an invisible character or
+an accent written apart; any other edit costs ``1``.  A letter may look like several (the palochka like
+I and l): the trie tells which of them makes a word.  Of the spellings reached within ``budget`` (0 for
+visual identity) the cheapest, then the plainest, then the most frequent becomes canonical.  Tokens
+that reach nothing are written by the table of ``lookalikes``.
+
+Spellings that may look the same have an equal ``coarse`` form.  Where only one has it, there is
+nothing to choose; the others are cut into tries by its hash, each of a bounded number of words.
+Without a budget a walk needs the trie of its own hash only, with one it visits all of them.
+
+The corpus is read twice: for the vocabulary, and to write the forms.  Spellings that differ from
+what the table writes are few (spoofed words of other scripts, homographs); they are broadcast up to
+``broadcast_spellings``, and joined to the documents beyond.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointgate.llm.lookalikes import ignorable, shape, skeleton
+from pointgate.llm.lookalikes import coarse, ignorable, looks, shape, skeleton
 from pointgate.operators.joins import salted_join
 from pointgate.session import cut
 
@@ -45,167 +53,235 @@ def _clean():  # noqa: ANN202
     return regex.compile(f"(?:{scripts}|{mixed})")
 
 
-def clean(token: str, one_script) -> bool:  # noqa: ANN001
+@lru_cache(1 << 16)
+def clean(token: str) -> bool:
     """Whether a spelling may stand in the vocabulary."""
-    return bool(one_script.fullmatch(token)) and not any(ignorable(c) for c in token) and all(len(shape(c)) == 1 and (shape(c) == c or not c.isascii()) and not _wide(c) for c in token) and _composed(token)
+    if token.isascii():
+        return skeleton(token) == token
+    return (
+        bool(_one_script().fullmatch(token))
+        and unicodedata.is_normalized("NFC", token)
+        and not any(ignorable(c) or unicodedata.normalize("NFKC", c) != c or (shape(c) != c and (len(shape(c)) != 1 or c.isascii())) for c in token)
+    )
 
 
-def _wide(ch: str) -> bool:
-    import unicodedata
+@lru_cache(1)
+def _one_script():  # noqa: ANN202
+    return _clean()
 
-    return unicodedata.normalize("NFKC", ch) != ch
 
+@lru_cache(1 << 16)
+def plain_form(token: str) -> str:
+    """How a token is written that has no spelling of its own: a clean one stays, others by the table."""
+    return token if clean(token) else skeleton(token)
 
-def _composed(token: str) -> bool:
-    import unicodedata
 
-    return unicodedata.is_normalized("NFC", token)
+def units(word: str) -> list[tuple[str, ...]]:
+    """What a word shows, one unit after the other, with all that each may look like; an invisible character shows ('',)."""
+    out: list[tuple[str, ...]] = []
+    base = -1
+    for ch in unicodedata.normalize("NFD", word):
+        mark = unicodedata.combining(ch) or "\u1160" <= ch <= "\u11ff"
+        if ignorable(ch):
+            out.append(("",))
+        elif mark and base >= 0:
+            out[base] = tuple(x + ch for x in out[base])
+        else:
+            base = len(out)
+            out.append(looks(ch))
+    return [tuple(unicodedata.normalize("NFC", x) for x in u) for u in out]
+
+
+class _Node:
+    __slots__ = ("edges", "like", "word")
+
+    def __init__(self) -> None:
+        self.edges: dict[str, _Node] = {}
+        #: Nodes behind the edges that may look like a letter.
+        self.like: dict[str, list[_Node]] = {}
+        self.word: tuple[str, int] | None = None
 
 
 class Trie:
-    """Spellings with their counts; the edges of a node lie under what they look like."""
+    """Spellings with their counts, letter by letter as they are written."""
 
     def __init__(self) -> None:
-        self.root: dict = {}
+        self.root = _Node()
 
     def add(self, word: str, count: int) -> None:
         node = self.root
         for ch in word:
-            node = node.setdefault(shape(ch), {}).setdefault(ch, {})
-        node[""] = (word, count)
+            child = node.edges.get(ch)
+            if child is None:
+                child = node.edges[ch] = _Node()
+                for unit in units(ch)[:1]:
+                    for look in unit:
+                        node.like.setdefault(look, []).append(child)
+            node = child
+        node.word = (word, count)
 
     def walk(self, word: str, budget: float = 0.0) -> list[tuple[float, str, int]]:
         """(cost, spelling, count) of every spelling within the budget."""
-        import unicodedata
-
-        units: list[str] = []  # what the word shows, one character after the other
-        for ch in unicodedata.normalize("NFC", "".join(map(shape, unicodedata.normalize("NFD", word)))):
-            units.append(ch)
+        shown = units(word)
         found: dict[str, tuple[float, int]] = {}
-        stack = [(self.root, 0, 0.0)]
-        seen: dict[tuple[int, int], float] = {}
+        # A state is a node, a place in the word, and letters of the unit there still to come (of a ligature).
+        stack = [(self.root, 0, "", 0.0)]
+        seen: dict[tuple[int, int, str], float] = {}
         while stack:
-            node, i, cost = stack.pop()
-            state = (id(node), i)
+            node, i, rest, cost = stack.pop()
+            state = (id(node), i, rest)
             if seen.get(state, budget + 1) <= cost:
                 continue
             seen[state] = cost
-            if i == len(units) and "" in node:
-                spelling, count = node[""]
+            if rest:
+                stack += [(child, i, rest[1:], cost) for child in node.like.get(rest[0], ())]
+                continue
+            if i == len(shown) and node.word:
+                spelling, count = node.word
                 if cost <= found.get(spelling, (budget + 1, 0))[0]:
                     found[spelling] = (cost, count)
-            if i < len(units):
-                stack += [(child, i + 1, cost) for child in node.get(units[i], {}).values()]
+            if i < len(shown):
+                for look in shown[i]:
+                    if not look:
+                        stack.append((node, i + 1, "", cost))
+                    elif look in node.like:
+                        stack += [(child, i + 1, "", cost) for child in node.like[look]]
+                    elif len(look) > 1:
+                        stack.append((node, i + 1, look, cost))
             if cost + 1 <= budget:
-                if i < len(units):
-                    stack.append((node, i + 1, cost + 1))
-                for look, edges in node.items():
-                    if look:
-                        for child in edges.values():
-                            stack.append((child, i, cost + 1))
-                            if i < len(units) and look != units[i]:
-                                stack.append((child, i + 1, cost + 1))
+                if i < len(shown):
+                    stack.append((node, i + 1, "", cost + 1))
+                for child in node.edges.values():
+                    stack.append((child, i, "", cost + 1))
+                    if i < len(shown):
+                        stack.append((child, i + 1, "", cost + 1))
         return [(cost, spelling, count) for spelling, (cost, count) in found.items()]
 
 
+def _rank(found: tuple[float, str, int]) -> tuple:
+    cost, spelling, count = found
+    return cost, skeleton(spelling) != spelling, -count, spelling
+
+
 def canonical(word: str, trie: Trie, budget: float = 0.0) -> str:
     """The canonical spelling: cheapest, then one that the table leaves as it is, then the most frequent."""
     found = trie.walk(word, budget)
-    if not found:
-        return skeleton(word)
-    return min(found, key=lambda x: (x[0], skeleton(x[1]) != x[1], -x[2], x[1]))[1]
+    return min(found, key=_rank)[1] if found else skeleton(word)
+
 
+def spellings(texts: DataFrame, *, flush: int = 200_000) -> DataFrame:
+    """(token, look, n) of every spelling of the column ``_text`` with its coarse form; counted in the tasks first."""
 
-def spellings(texts: DataFrame) -> DataFrame:
-    """(token, look, clean, n) of every spelling of the column ``_text``; counted within each batch first."""
+    def rows(n: Counter[str]) -> pd.DataFrame:
+        return pd.DataFrame([(t, coarse(t), k) for t, k in n.items()], columns=["token", "look", "n"])
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, one_script = _tokens().findall, _clean()
+        find = _tokens().findall
+        n: Counter[str] = Counter()
         for frame in frames:
-            n: Counter[str] = Counter()
             for text in frame["_text"]:
                 n.update(find(text))
-            yield pd.DataFrame([(t, skeleton(t), t.isascii() or clean(t, one_script), k) for t, k in n.items()], columns=["token", "look", "clean", "n"])
+                if len(n) > flush:
+                    yield rows(n)
+                    n.clear()
+        yield rows(n)
 
-    rows = texts.mapInPandas(count, "token string, look string, clean boolean, n long")
-    return rows.groupBy("token").agg(F.first("look").alias("look"), F.first("clean").alias("clean"), F.sum("n").alias("n"))
+    return texts.mapInPandas(count, "token string, look string, n long").groupBy("token", "look").agg(F.sum("n").alias("n"))
 
 
 def canonical_spellings(texts: DataFrame, *, budget: float = 0.0, trie_words: int = 100_000) -> DataFrame:
-    """(token, spelling) of the tokens that aren't their own canonical spelling by the table.
-
-    Only looks that some token writes in its own way are walked; for all others the only spelling
-    is the table's.
-    """
-    all_ = cut(spellings(texts))
-    odd = all_.where(F.col("token") != F.col("look")).select("look").distinct()
-    walked = all_.join(odd, "look", "left_semi")
+    """(token, spelling) of the tokens whose canonical spelling isn't their ``plain_form``."""
+    all_ = spellings(texts)
+    if budget == 0:
+        all_ = all_.withColumn("_k", F.count("*").over(Window.partitionBy("look"))).where("_k > 1").drop("_k")
+    walked = cut(all_)
     tries = max(1, -(-walked.count() // trie_words))
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
-        trie = Trie()
-        for token, n in rows.loc[rows["clean"], ["token", "n"]].itertuples(index=False):
-            trie.add(token, n)
-        out = [(t, canonical(t, trie, budget)) for t in rows["token"]]
-        return pd.DataFrame(out, columns=["token", "spelling"])
+        trie, known = Trie(), set()
+        for token, n in rows.loc[rows["n"] > 0, ["token", "n"]].itertuples(index=False):
+            if clean(token):
+                trie.add(token, n)
+                known.add(token)
+        out = []
+        for token in rows["token"].unique():
+            found = trie.walk(token, budget)
+            if found:
+                out.append((token, *min(found, key=_rank)))
+        return pd.DataFrame(out, columns=["token", "cost", "spelling", "n"])
+
+    shard = walked.withColumn("_trie", F.pmod(F.xxhash64("look"), F.lit(tries)))
+    if budget > 0 and tries > 1:
+        # A spelling near a word may stand in any trie: it visits the others too, uncounted.
+        others = walked.withColumn("_trie", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tries - 1).cast("long"))))
+        shard = shard.union(others.withColumn("n", F.lit(0).cast("long")))
+    got = shard.groupBy("_trie").applyInPandas(match, "token string, cost double, spelling string, n long")
+    if budget > 0:
+        got = got.groupBy("token").agg(F.collect_list(F.struct("cost", "spelling", "n")).alias("_found"))
+
+    def differ(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if budget > 0:
+                best = [min(((x["cost"], x["spelling"], x["n"]) for x in found), key=_rank)[1] for found in frame["_found"]]
+                frame = pd.DataFrame({"token": frame["token"], "spelling": best})
+            yield frame.loc[[s != plain_form(t) for t, s in zip(frame["token"], frame["spelling"])], ["token", "spelling"]]
+
+    return got.mapInPandas(differ, "token string, spelling string")
+
+
+def _written(text: str, known: dict[str, str]) -> str:
+    """The form of a text, with the spellings of ``known``."""
+    out, at = [], 0
+    for m in _find_tokens().finditer(text):
+        token = m.group()
+        out.append(skeleton(text[at : m.start()]))
+        out.append(skeleton(token) if token.isascii() else known.get(token) or plain_form(token))
+        at = m.end()
+    out.append(skeleton(text[at:]))
+    return unicodedata.normalize("NFC", "".join(out))
 
-    # The hash of the look picks the trie; with a budget above 0 near looks must share one, so there is only one.
-    shard = F.pmod(F.xxhash64("look"), F.lit(tries if budget == 0 else 1))
-    return walked.withColumn("_trie", shard).groupBy("_trie").applyInPandas(match, "token string, spelling string")
 
+@lru_cache(1)
+def _find_tokens():  # noqa: ANN202
+    return _tokens()
 
-def visual_forms(documents: DataFrame, *, document: str, text: str = "text", budget: float = 0.0) -> DataFrame:
+
+def visual_forms(documents: DataFrame, *, document: str, text: str = "text", budget: float = 0.0, broadcast_spellings: int = 200_000) -> DataFrame:
     """(document, _text, form): the texts in one form; equal forms look the same.
 
     A null text has no row here; an empty text has the empty form.  What no token covers (blanks,
     punctuation) is written by the table; line breaks, the number of blanks, letter case, accents
-    and digits stay.  Rows with one document id must hold one text.
+    and digits stay.  Tokens of plain ASCII stay too.  Rows with one document id may hold several texts.
     """
     source = documents.where(F.col(document).isNotNull() & F.col(text).isNotNull()).select(F.col(document).alias("_id"), F.col(text).cast("string").alias("_text"))
-    # Spellings that the table would write the same way need not travel back to the documents.
-    named = canonical_spellings(source, budget=budget)
-    named = cut(_unlike_table(named))
+    named = cut(canonical_spellings(source, budget=budget))
+    kind = dict(documents.dtypes)[document]
+    schema = f"_id {kind}, _text string, form string"
+    if named.count() <= broadcast_spellings:
+        spelled = documents.sparkSession.sparkContext.broadcast({r["token"]: r["spelling"] for r in named.toLocalIterator()})
+
+        def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known, odd = spelled.value, _odd().search
+            for f in frames:
+                yield f[["_id", "_text"]].assign(form=[_written(x, known) if odd(x) else skeleton(x) for x in f["_text"]])
+
+        return source.mapInPandas(write, schema).withColumnRenamed("_id", document)
 
     def needed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find, odd = _tokens().findall, _odd().search
         for frame in frames:
-            out = [(i, t) for i, x in zip(frame["_id"], frame["_text"]) if odd(x) for t in sorted(set(find(x))) if odd(t)]
+            out = [(i, t) for i, x in zip(frame["_id"], frame["_text"]) if odd(x) for t in sorted(set(find(x))) if not t.isascii()]
             yield pd.DataFrame(out, columns=["_id", "token"])
 
-    kind = dict(documents.dtypes)[document]
     asked = source.mapInPandas(needed, f"_id {kind}, token string")
-    got = salted_join(asked, named, ["token"], ["_id"]).groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("token", "spelling"))).alias("_spelled"))
-    joined = source.join(got, "_id", "left")
-
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import unicodedata
+    got = asked.join(named, "token").groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("token", "spelling"))).alias("_spelled"))
 
-        tokens, odd = _tokens(), _odd().search
-        for frame in frames:
-            forms = []
-            for x, spelled in zip(frame["_text"], frame["_spelled"]):
-                if spelled is None or not odd(x):
-                    forms.append(skeleton(x))  # every token is written by the table
-                    continue
-                known = dict(spelled)
-                out, at = [], 0
-                for m in tokens.finditer(x):
-                    out.append(skeleton(x[at : m.start()]))
-                    out.append(known.get(m.group()) or skeleton(m.group()))
-                    at = m.end()
-                out.append(skeleton(x[at:]))
-                forms.append(unicodedata.normalize("NFC", "".join(out)))
-            yield pd.DataFrame({"_id": frame["_id"], "_text": frame["_text"], "form": forms})
-
-    return joined.mapInPandas(write, f"_id {kind}, _text string, form string").withColumnRenamed("_id", document)
-
-
-def _unlike_table(named: DataFrame) -> DataFrame:
-    def differ(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame[[s != skeleton(t) for t, s in zip(frame["token"], frame["spelling"])]]
+    def write_own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        odd = _odd().search
+        for f in frames:
+            yield f[["_id", "_text"]].assign(form=[_written(x, dict(k) if k is not None else {}) if odd(x) else skeleton(x) for x, k in zip(f["_text"], f["_spelled"])])
 
-    return named.mapInPandas(differ, "token string, spelling string")
+    return source.join(got, "_id", "left").mapInPandas(write_own, schema).withColumnRenamed("_id", document)
 
 
 def visual_pairs(documents: DataFrame, *, document: str, text: str = "text") -> DataFrame:

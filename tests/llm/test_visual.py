@@ -57,9 +57,30 @@ def test_pairs(spark):
 def test_many_tries_give_the_same(spark):
     from pointgate.llm.visual import canonical_spellings
 
-    texts = spark.createDataFrame([(t,) for _, t in DOCS if t], "_text string")
-    one, many = (sorted(map(tuple, canonical_spellings(texts, trie_words=n).collect())) for n in (1000, 2))
-    assert one == many
+    texts = spark.createDataFrame([(t,) for _, t in DOCS if t] + [("Pauls \u0420aulz",)], "_text string")
+    for budget in (0.0, 1.0):
+        one, many = (sorted(map(tuple, canonical_spellings(texts, budget=budget, trie_words=n).collect())) for n in (1000, 2))
+        assert one == many and ("\u0420aulz", "Paul") in one if budget else ("\u0420aulz", "Paulz") not in one
+
+
+def test_the_vocabulary_decides_what_a_letter_is(spark):
+    """The palochka looks like I and like l; only the words of the corpus tell which, the table alone does not."""
+    rows = [(1, "full Illness"), (2, "fu\u04cfl \u04c0llness"), (3, "fu\u04c0\u04c0 I\u04cflness"), (4, "\u04c0van"), (5, "lvan"), (6, "huII lllnezz")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    assert skeleton("fu\u04c0\u04c0") == "fuII" != "full"
+    for broadcast in (1000, -1):
+        forms = {r["doc_id"]: r["form"] for r in visual_forms(df, document="doc_id", broadcast_spellings=broadcast).collect()}
+        assert forms[1] == forms[2] == forms[3] == "full Illness" and forms[4] == "lvan" and forms[6] == "huII lllnezz"
+    assert {tuple(r) for r in visual_pairs(df, document="doc_id").collect()} == {(1, 2), (1, 3), (2, 3), (4, 5)}
+
+
+def test_ligatures_and_invisible_letters_in_the_walk():
+    trie = Trie()
+    for w in ("fine", "\uac00\ub098", "na\u00efve"):
+        trie.add(w, 1)
+    for seen, want in (("\ufb01ne", "fine"), ("f\u200bi\u00adn\u0435", "fine"), ("\u1100\u1161\ub098", "\uac00\ub098"), ("nai\u200d\u0308ve", "na\u00efve"), ("fjne", "fjne")):
+        assert canonical(seen, trie) == want
+    assert canonical("fjne", trie, budget=1) == "fine" and canonical("fnie", trie, budget=1) == "fnie"
 
 
 def test_empty_and_long(spark):
