@@ -1,6 +1,7 @@
 """Attributes as known at event time, by dyadic decomposition of validity intervals.
 
-Time is a grid of whole numbers ``0 .. 2**levels - 1``.  A half-open validity interval is
+Time is a grid of whole numbers ``0 .. 2**levels - 1``; ``levels_of`` gives the levels that a grid
+needs.  A half-open validity interval is
 covered by at most ``2 * levels`` dyadic nodes ``(level, index)``; an instant lies in exactly one
 node of each level.  Interval containment so becomes an equi-join on ``(key, level, index)``, which
 hashes, spills and splits like any other equi-join; no range join and no per-key sort is needed.
@@ -11,6 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointgate.operators.joins import salted
+
+
+def levels_of(moments: int) -> int:
+    """Levels of a grid of so many moments."""
+    return max(1, (max(moments, 1) - 1).bit_length())
+
 
 def cover(start: Column, end: Column, levels: int) -> Column:
     """Dyadic nodes that tile ``[start, end)``: array of (level, index)."""
@@ -66,38 +74,26 @@ def as_known(
     ``start``, ``end`` and any payload.  The result has ``event_id`` and the payload columns of
     the fact that comes first by ``precedence`` (descending, nulls last).  Events with a null key
     or time, or without a fact, have no row; empty inputs give an empty result.  Payload columns
-    may have any name, also one that the events have.
+    may have any name, also one that the events have.  An event outside of the grid fails the query:
+    its facts can't be told.
 
     Keys with more than ``hot_rows`` events are salted: their events spread over several join
-    keys and their facts are repeated for each.  At most (number of events) / ``hot_rows`` keys
-    can be hot, which bounds the table of salts.
+    keys and their facts are repeated for each.  The events are read twice.
     """
     payload = [c for c in facts.columns if c not in (key, start, end)]
-    e = events.where(F.col(key).isNotNull() & F.col(time).between(0, 2**levels - 1)).select(
-        F.col(key).alias("_key"), F.col(event_id).alias("_event"), F.col(time).cast("long").alias("_t")
-    )
+    at = F.col(time).cast("long")
+    on_grid = F.when(at.between(0, 2**levels - 1), at).otherwise(F.raise_error(F.lit(f"an event lies outside of the grid of 2**{levels} moments")).cast("long"))
+    e = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key).alias("_key"), F.col(event_id).alias("_event"), on_grid.alias("_t"))
     f = facts.where(F.col(key).isNotNull()).select(
         F.col(key).alias("_key"),
         F.greatest(F.col(start).cast("long"), F.lit(0)).alias("_s"),
         F.least(F.coalesce(F.col(end).cast("long"), F.lit(2**levels)), F.lit(2**levels)).alias("_e"),
         F.struct(*payload).alias("_f"),
     )
-    hot = e.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
-    hot = hot.select("_key", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
-    e = (
-        e.join(hot, "_key", "left")
-        .withColumn("_salt", F.pmod(F.xxhash64("_event"), F.coalesce("_salts", F.lit(1))).cast("int"))
-        .withColumn("_n", F.explode(enclosing(F.col("_t"), levels)))
-        .select("_key", "_salt", "_n.level", "_n.node", "_event", "_t")
-    )
-    f = (
-        f.where(F.col("_s") < F.col("_e"))
-        .join(hot, "_key", "left")
-        .withColumn("_n", F.explode(cover(F.col("_s"), F.col("_e"), levels)))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-        .select("_key", "_salt", "_n.level", "_n.node", "_s", "_e", "_f")
-    )
-    hits = e.join(f, ["_key", "_salt", "level", "node"]).where((F.col("_s") <= F.col("_t")) & (F.col("_t") < F.col("_e")))
+    e, f, keys = salted(e, f.where(F.col("_s") < F.col("_e")), ["_key"], ["_event"], hot_rows)
+    e = e.withColumn("_n", F.explode(enclosing(F.col("_t"), levels))).select(*keys, "_n.level", "_n.node", "_event", "_t")
+    f = f.withColumn("_n", F.explode(cover(F.col("_s"), F.col("_e"), levels))).select(*keys, "_n.level", "_n.node", "_s", "_e", "_f")
+    hits = e.join(f, [*keys, "level", "node"]).where((F.col("_s") <= F.col("_t")) & (F.col("_t") < F.col("_e")))
     first = F.struct(*[F.col(f"_f.{c}") for c in precedence])
     return (
         hits.groupBy("_event")

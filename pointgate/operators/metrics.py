@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointgate.operators.ranking import sliced_rank
+from pointgate.operators.ranking import sliced_totals
 
 #: Fixed value: probabilities are clipped by this before the logarithm.
 EPS = 1e-15
@@ -61,13 +61,10 @@ def index_percentile(values: Column, q: float) -> Column:
 def average_precision(df: DataFrame, score: str, y: str, tie: str, by: list[str]) -> DataFrame:
     """Mean over the positives of hits / rank, ranked by score descending.
 
-    The rank among all and the rank among the positives are both taken in slices, so no group is
-    sorted in one task.
+    Ranks and hits so far are running sums taken in slices, so no group is sorted in one task.
     """
-    ranked = sliced_rank(df.select(*by, score, y, tie), by=by, value=score, tie=tie, name="_rank")
-    hits = ranked.where(F.col(y) == 1).withColumn("_back", -F.col("_rank").cast("double"))
-    hits = sliced_rank(hits, by=by, value="_back", tie=tie, name="_hits")
-    return hits.groupBy(*by).agg(F.avg(F.col("_hits") / F.col("_rank")).alias("average_precision"))
+    ranked = sliced_totals(df.select(*by, score, y, tie), by=by, value=score, tie=[tie], totals={"_rank": F.lit(1).cast("long"), "_hits": F.col(y).cast("long")})
+    return ranked.where(F.col(y) == 1).groupBy(*by).agg(F.avg(F.col("_hits") / F.col("_rank")).alias("average_precision"))
 
 
 def isotonic_decreasing(df: DataFrame, *, by: list[str], x: str, value: str, weight: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointgate.operators.intervals import as_known, supersede
+from pointgate.operators.intervals import as_known, levels_of, supersede
 from pointgate.plans.registry import query
 from pointgate.session import cut, table
 
@@ -29,9 +29,6 @@ MOMENTS = [
     (r"\bweek (\d{1,2}), (\d{4}) season\b", 2, 1),
 ]
 
-#: The grid of weeks holds 2**LEVELS moments: over fifty seasons of twenty weeks.
-LEVELS = 10
-
 
 def moment_of(text: Column, season: Column, week: Column) -> Column:
     """Season and week that a text gives for itself: struct (season, week), null where none.
@@ -155,8 +152,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = cut(week_grid(table(spark, sf_dir, "games")))  # a row a week, used many times
     facts = depth_facts(table(spark, sf_dir, "depth_weekly"), table(spark, sf_dir, "depth_snapshot"), grid)
     order = ["rank", "loaded_at", "depth_id"]
-    facts = supersede(facts, "player", "since", order, 2**LEVELS)
+    levels = levels_of(grid.count())
+    facts = supersede(facts, "player", "since", order, 2**levels)
     packets = cut(placed_packets(table(spark, sf_dir, "packet_features"), grid))
     return as_known(
-        packets, facts, key="player", event_id="packet_id", time="t", start="since", end="_until", precedence=order, levels=LEVELS
+        packets, facts, key="player", event_id="packet_id", time="t", start="since", end="_until", precedence=order, levels=levels
     ).select("packet_id", "depth_id")

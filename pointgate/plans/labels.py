@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointgate.functions.scalar import half_up
 from pointgate.operators import scoring as sc
-from pointgate.operators.ranking import unique_rank
+from pointgate.operators.ranking import sliced_rank, unique_rank
 from pointgate.operators.temporal import prior_period
 from pointgate.plans.registry import query
 from pointgate.session import table
@@ -241,10 +241,12 @@ SELECT c_mktsegment || '-Q' || lpad(CAST(n AS VARCHAR), 6, '0') AS question_id,
 )
 def anonymise_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids in seeded hash order within a segment, names without digits, and the sequestered key."""
-    n = unique_rank(["c_mktsegment"], [F.sha2(F.concat(F.lit("7:"), F.col("c_custkey")), 256), "c_custkey"])
+    c = table(spark, sf_dir, "customer").withColumn("_h", F.sha2(F.concat(F.lit("7:"), F.col("c_custkey")), 256))
+    c = c.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "_h", F.conv(F.substring("_h", 1, 12), 16, 10).cast("long").alias("_u"))
+    c = sliced_rank(c, by=["c_mktsegment"], value="_u", tie=["_h", "c_custkey"], name="_n", descending=False)
     verdict = F.when(F.col("c_acctbal") > 5000, "yes").when(F.col("c_acctbal") < 0, "no").otherwise("unresolved")
-    return table(spark, sf_dir, "customer").select(
-        F.concat("c_mktsegment", F.lit("-Q"), F.lpad(n.cast("string"), 6, "0")).alias("question_id"), F.regexp_replace("c_name", "[0-9]+", "#").alias("masked"), F.col("c_custkey").alias("key"),
+    return c.select(
+        F.concat("c_mktsegment", F.lit("-Q"), F.lpad(F.col("_n").cast("string"), 6, "0")).alias("question_id"), F.regexp_replace("c_name", "[0-9]+", "#").alias("masked"), F.col("c_custkey").alias("key"),
         F.substring(F.sha2("c_name", 256), 1, 12).alias("owner"), verdict.alias("verdict"),
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pointgate.operators import metrics as m
 from pointgate.operators import scoring as sc
 from pointgate.operators.nearest import cosine_topk
+from pointgate.operators.ranking import quantiles, sliced_rank
 from pointgate.plans.labels import _YEARLY, yearly
 from pointgate.plans.registry import query
 from pointgate.session import table
@@ -147,9 +148,10 @@ def corr_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT date_trunc('quarter', l_shipdate) AS bucket, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75 FROM lineitem GROUP BY 1",
 )
 def bucket_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "lineitem").groupBy(F.date_trunc("quarter", "l_shipdate").cast("timestamp_ntz").alias("bucket"))
-    return x.agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.round(F.median("l_extendedprice"), 4).alias("median"),
-        F.round(F.percentile("l_extendedprice", 0.25), 4).alias("p25"), F.round(F.percentile("l_extendedprice", 0.75), 4).alias("p75"))
+    x = table(spark, sf_dir, "lineitem").select(F.date_trunc("quarter", "l_shipdate").cast("timestamp_ntz").alias("bucket"), F.col("l_extendedprice").alias("v"))
+    means = x.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.avg("v"), 4).alias("mean"))
+    q = quantiles(x, by=["bucket"], value="v", at={"median": 0.5, "p25": 0.25, "p75": 0.75})
+    return means.join(q.withColumnRenamed("bucket", "_b"), F.col("bucket").eqNullSafe(F.col("_b")), "left").select("bucket", "n", "mean", *[F.round(c, 4).alias(c) for c in ("median", "p25", "p75")])
 
 
 _KNOTS = "SELECT preset, CAST(least(floor(adp / 10), 17) AS INTEGER) AS slot, avg(prev_points) AS v, count(*) AS n FROM draftbench WHERE adp IS NOT NULL AND NOT isnan(adp) AND prev_points IS NOT NULL GROUP BY 1, 2"
@@ -194,12 +196,13 @@ SELECT arm, max(n) AS n, round(avg(CASE WHEN r > n // 10 AND r <= n - n // 10 TH
 )
 def trimmed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trimmed mean, median, mean without the largest, and the sample size for 80 % power."""
-    w = Window.partitionBy("o_orderpriority")
-    r = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("arm"), F.col("o_totalprice").alias("v"), F.row_number().over(w.orderBy("o_totalprice", "o_orderkey")).alias("r"), F.count("*").over(w).alias("n"))
-    cut = F.floor(F.col("n") / 10)
-    kept = F.when((F.col("r") > cut) & (F.col("r") <= F.col("n") - cut), F.col("v"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("arm"), F.col("o_totalprice").alias("v"), "o_orderkey")
+    r = sliced_rank(o, by=["arm"], value="v", tie="o_orderkey", name="r", size="n", descending=False)
+    less = F.floor(F.col("n") / 10)
+    kept = F.when((F.col("r") > less) & (F.col("r") <= F.col("n") - less), F.col("v"))
+    middle = F.avg(F.when(F.col("r").between(F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)), F.col("v")))
     return r.groupBy("arm").agg(
-        F.max("n").alias("n"), F.round(F.avg(kept), 4).alias("trimmed"), F.round(F.median("v"), 4).alias("median"), F.round((F.sum("v") - F.max("v")) / (F.count("*") - 1), 4).alias("without_max"),
+        F.max("n").alias("n"), F.round(F.avg(kept), 4).alias("trimmed"), F.round(middle, 4).alias("median"), F.round((F.sum("v") - F.max("v")) / (F.count("*") - 1), 4).alias("without_max"),
         F.ceil(2.8 * 2.8 * F.var_samp("v") / F.pow(F.avg("v"), F.lit(2))).alias("power_n"),
     )
 
@@ -273,11 +276,13 @@ def cell_pool_eras(spark: SparkSession, sf_dir: str) -> DataFrame:
   count_if(value >= 100) AS tier1, count_if(value >= 50 AND value < 100) AS tier2, round(avg(CASE WHEN value >= 50 THEN 1.0 ELSE 0.0 END), 6) AS consistency FROM events GROUP BY 1""",
 )
 def distribution_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.count("*").alias("n"), F.round(F.percentile("value", 0.05), 4).alias("p5"), F.round(F.percentile("value", 0.95), 4).alias("p95"), F.round(100.0 * F.count("value") / F.count("*"), 2).alias("coverage"), F.round(F.sum("value") * 0.003, 4).alias("cost"),
+    v, e = F.col("value"), table(spark, sf_dir, "events")
+    q = quantiles(e, by=["event_type"], value="value", at={"p5": 0.05, "p95": 0.95}).withColumnRenamed("event_type", "_e")
+    x = e.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.round(100.0 * F.count("value") / F.count("*"), 2).alias("coverage"), F.round(F.sum("value") * 0.003, 4).alias("cost"),
         F.count_if(v >= 100).alias("tier1"), F.count_if((v >= 50) & (v < 100)).alias("tier2"), F.round(F.avg(F.when(v >= 50, 1.0).otherwise(0.0)), 6).alias("consistency"),
     )
+    return x.join(q, F.col("event_type").eqNullSafe(F.col("_e")), "left").select(*x.columns, F.round("p5", 4).alias("p5"), F.round("p95", 4).alias("p95"))
 
 
 @query(
@@ -352,10 +357,9 @@ def training_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last value of a series and its 95th percentile by index."""
     at = F.struct("ts", "event_id")
     v = table(spark, sf_dir, "events").where(F.col("value").isNotNull())
-    w = Window.partitionBy("user_id").orderBy("value", "event_id")
-    r = v.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy("user_id")))
-    p95 = F.max(F.when(F.col("_r") == F.floor(0.95 * (F.col("_n") - 1)) + 1, F.col("value")))
-    return r.groupBy("user_id").agg(F.min_by("value", at).alias("first_value"), F.max_by("value", at).alias("last_value"), p95.alias("p95"))
+    ends = v.groupBy("user_id").agg(F.min_by("value", at).alias("first_value"), F.max_by("value", at).alias("last_value"))
+    p95 = quantiles(v, by=["user_id"], value="value", at={"p95": 0.95}, interpolate=False)
+    return ends.join(p95.withColumnRenamed("user_id", "_u"), F.col("user_id").eqNullSafe(F.col("_u"))).select("user_id", "first_value", "last_value", "p95")
 
 
 @query("embedding_topk", "WITH q AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 20 = 0) SELECT q.vec_id AS query_id, e.vec_id AS vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) AS similarity FROM q JOIN embeddings e ON e.vec_id <> q.vec_id AND e.label = q.label QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 7) DESC, e.vec_id) <= 5")

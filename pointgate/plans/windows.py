@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointgate.operators.ranking import cum_before, stratified_top, top_by, whole_groups_until
+from pointgate.operators.ranking import cum_before, sliced_rank, stratified_top, top_by, whole_groups_until
 from pointgate.operators.valuation import lineup, replacement
 from pointgate.plans.joins import _POINTS, points
 from pointgate.plans.labels import _YEARLY, yearly
@@ -91,7 +91,11 @@ SELECT *, round(max(CASE WHEN tercile = 2 THEN rate END) OVER (PARTITION BY band
 def tercile_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates by band and tercile, an 'all' band, and the ratio of the outer terciles."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("band"), "o_totalprice", (F.col("o_orderstatus") == "F").cast("int").alias("hit"))
-    o = o.withColumn("tercile", F.ntile(3).over(Window.partitionBy("band").orderBy("o_totalprice", "o_orderkey")) - 1)
+    o = sliced_rank(o, by=["band"], value="o_totalprice", tie="o_orderkey", name="_r", size="_n", descending=False)
+    # The first n % 3 parts hold one row more.
+    more, part = F.col("_n") % 3, F.floor(F.col("_n") / 3)
+    first = more * (part + 1)
+    o = o.withColumn("tercile", F.when(F.col("_r") <= first, F.floor((F.col("_r") - 1) / (part + 1))).otherwise(more + F.floor((F.col("_r") - 1 - first) / F.greatest(part, F.lit(1)))).cast("int"))
     agg = [F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("rate"), F.round(F.avg("o_totalprice"), 2).alias("mean")]
     g = o.groupingSets([["band", "tercile"], ["tercile"]], "band", "tercile").agg(F.grouping("band").alias("_all"), *agg)
     g = g.select(F.when(F.col("_all") == 1, "all").otherwise(F.col("band")).alias("band"), "tercile", "n", "rate", "mean")
@@ -170,7 +174,7 @@ SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER B
 )
 def q_stratified_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
-    return stratified_top(o, ["o_orderpriority", "o_orderstatus"], [F.col("o_totalprice").desc(), "o_orderkey"], 0.6).drop("o_totalprice")
+    return stratified_top(o, ["o_orderpriority", "o_orderstatus"], "o_totalprice", "o_orderkey", 0.6).drop("o_totalprice")
 
 
 @query("loss_mass", "SELECT source, lang, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY source) * (SELECT count(*) FROM documents) * 0.25, 6) AS weight FROM (SELECT source, coalesce(lang, '') AS lang FROM documents) GROUP BY 1, 2")

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pointgate.operators.intervals import as_known, cover, enclosing, supersede
+from pointgate.operators.intervals import as_known, cover, enclosing, levels_of, supersede
 from pointgate.plans.known_at import moment_of
 
 
@@ -44,6 +44,16 @@ def test_overlaps_go_to_the_first_in_precedence(spark):
     assert {r["id"]: r["event"] for r in got.collect()} == {1: "x", 2: "y", 3: "z", 4: "z"}
 
 
+def test_events_beyond_the_grid_fail(spark):
+    """The last moment of the grid is answered; one beyond is an error and never a lost row."""
+    assert [levels_of(n) for n in (0, 1, 2, 3, 1024, 1025)] == [1, 1, 1, 2, 10, 11]
+    f = spark.createDataFrame([("a", 0, None, 1)], "key string, s long, e long, rank int")
+    known = lambda t, levels: as_known(spark.createDataFrame([(1, "a", t)], "event int, key string, t long"), f, key="key", event_id="event", time="t", start="s", end="e", precedence=["rank"], levels=levels)
+    assert known(1023, 10).count() == 1 and known(1024, levels_of(1025)).count() == 1
+    with pytest.raises(Exception, match="outside of the grid"):
+        known(1024, 10).collect()
+
+
 def test_empty_tables(spark):
     f = spark.createDataFrame([], "key string, since long, rank int, id int")
     e = spark.createDataFrame([], "event int, key string, t long")
@@ -69,7 +79,7 @@ def test_weeks_see_only_what_was_loaded_before(spark):
     """Brute force over invented games and depth rows, also from before the first week."""
     from datetime import date, datetime, timedelta
 
-    from pointgate.plans.known_at import LEVELS, depth_facts, week_grid
+    from pointgate.plans.known_at import depth_facts, week_grid
 
     rng = random.Random(9)
     weeks = [(s, w, date(s, 9, 1) + timedelta(days=7 * w + rng.randrange(3))) for s in (2020, 2021) for w in (1, 2, 4, 5)]
@@ -81,9 +91,9 @@ def test_weeks_see_only_what_was_loaded_before(spark):
     snapshot = spark.createDataFrame(dated, "gsis_id string, dt timestamp_ntz, loaded_at timestamp_ntz, depth_id int")
     grid = week_grid(games)
     order = ["rank", "loaded_at", "depth_id"]
-    facts = supersede(depth_facts(weekly, snapshot, grid), "player", "since", order, 2**LEVELS)
+    facts = supersede(depth_facts(weekly, snapshot, grid), "player", "since", order, 8)
     events = grid.selectExpr("season * 64 + week AS event", "t", "explode(array('p', 'q')) AS player").selectExpr("event * 2 + int(player = 'q') AS event", "t", "player")
-    got = as_known(events, facts, key="player", event_id="event", time="t", start="since", end="_until", precedence=order, levels=LEVELS)
+    got = as_known(events, facts, key="player", event_id="event", time="t", start="since", end="_until", precedence=order, levels=3)
     want = {}
     for s, w, d in weeks:
         cutoff = datetime(d.year, d.month, d.day)

@@ -35,17 +35,34 @@ def test_salted_join_is_a_join(spark, hot, how):
     assert sorted(map(str, got.select("id", "k", "v").collect())) == sorted(map(str, want.select("id", "k", "v").collect()))
 
 
+@pytest.mark.parametrize("slice_rows", [20, 10**6])
 @pytest.mark.parametrize("descending", [True, False])
-def test_sliced_rank_is_row_number(spark, descending):
+def test_sliced_rank_is_row_number(spark, descending, slice_rows):
     rng = random.Random(1)
     rows = [("a" if i % 4 else "b", rng.choice([None, 1.0, 2.0, 3.5, float(i % 17)]), i) for i in range(200)]
     df = spark.createDataFrame(rows, "g string, v double, id int")
-    got = {r["id"]: r["rank"] for r in ranking.sliced_rank(df, by=["g"], value="v", tie="id", slices=8, descending=descending).collect()}
+    got = {r["id"]: r["rank"] for r in ranking.sliced_rank(df, by=["g"], value="v", tie="id", slice_rows=slice_rows, descending=descending).collect()}
     for g in "ab":
         mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, (-r[1] if descending else r[1]) if r[1] is not None else 0, r[2]))
         assert [got[r[2]] for r in mine] == list(range(1, len(mine) + 1))
 
 
+@pytest.mark.parametrize("slice_rows", [15, 10**6])
+def test_quantiles_and_totals_in_slices(spark, slice_rows):
+    import numpy as np
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randrange(30)), rng.random()]), i) for i in range(150)]
+    df = spark.createDataFrame(rows, "g string, v double, id int")
+    mine = lambda g: sorted((v, i) for k, v, i in rows if k == g and v is not None)
+    for r in ranking.quantiles(df, by=["g"], value="v", at={"p10": 0.1, "p50": 0.5}, slice_rows=slice_rows).collect():
+        assert np.allclose([r["p10"], r["p50"]], np.quantile([v for v, _ in mine(r["g"])], [0.1, 0.5]))
+    t = ranking.sliced_totals(df.where("v is not null"), by=["g"], value="v", tie=["id"], totals={"s": F.col("id").cast("long")}, size="n", slice_rows=slice_rows, descending=False)
+    for g in ("a", "b", None):
+        got = sorted((r["v"], r["id"], r["s"], r["n"]) for r in t.collect() if r["g"] == g)
+        assert [x[2] for x in got] == np.cumsum([i for _, i in mine(g)]).tolist() and {x[3] for x in got} == {len(mine(g))}
+
+
 def test_tolerance_pairs_is_brute_force(spark):
     rng = random.Random(2)
     rows = [("g", i, round(rng.uniform(1, 40), 2)) for i in range(80)] + [("g", 200, 0.0), ("g", 201, None)]
