@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointgate.llm import keys
 from pointgate.llm.registry import query
-from pointgate.llm.splits import fill_deficits, load_table, save_table, update_components
+from pointgate.llm.splits import Components, fill_deficits
 from pointgate.operators.joins import salted_join
 from pointgate.session import cut, table
 from pointgate.sources.files import scratch
@@ -22,18 +22,29 @@ def tied_rows(corpus: DataFrame) -> DataFrame:
     )
 
 
-def ties(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Edges (a, b) between episodes, and from episodes to named traces that ``known`` (trace) doesn't hold."""
-    named = rows.where(F.col("source").isNotNull()).select("node", "source").distinct()
-    there = known.where(F.col("trace").isNotNull()).select(F.col("trace").alias("source"), keys.episode_key(F.col("trace")).alias("_at")).distinct()
-    j = salted_join(named, there, ["source"], ["node"], "left")
-    return j.select(F.col("node").alias("a"), F.coalesce("_at", F.concat(F.lit("trace "), F.col("source"))).alias("b"))
+def ties(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) from the node of a row to its own trace and to the trace that it names.
+
+    Who names a trace and who has it need not be in one delivery: both tie to the trace.
+    """
+    trace = lambda c: F.concat(F.lit("trace "), c)
+    named = F.array_compact(F.array(F.when(F.col("node") != F.concat(F.lit("row "), F.col("row_id")), trace("trace")), trace("source")))
+    return rows.select(F.col("node").alias("a"), F.explode(named).alias("b")).distinct()
 
 
-def components(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The rows, and the component table over their nodes."""
-    rows = cut(tied_rows(table(spark, sf_dir, "t11_targeted_v1")))
-    return rows, update_components(None, rows.select("node"), ties(rows, rows))
+def late(corpus: DataFrame) -> DataFrame:
+    """(row_id, late): whether a row came with the second delivery."""
+    return corpus.select("row_id", F.coalesce(F.col("ingested_at") >= F.lit("2024-07-01").cast("timestamp_ntz"), F.lit(True)).alias("late"))
+
+
+def components(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Components]:
+    """The rows, and the component table over their nodes: built from the first delivery, extended by the second."""
+    corpus = table(spark, sf_dir, "t11_targeted_v1")
+    rows = cut(tied_rows(corpus).join(late(corpus), "row_id"))
+    store = Components(spark, scratch(spark, "components"))
+    for second in (False, True):
+        store.update(ties(rows.where(F.col("late") == second)))
+    return rows, store
 
 
 def grouped(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -58,8 +69,9 @@ SELECT row_id, group_id FROM t JOIN comp USING (node) JOIN g USING (component) W
 @query("p5_found", _SPLIT_SQL)
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, group_id) of every row that is tied to another; the group is named by its smallest row."""
-    rows, comps = components(spark, sf_dir)
-    mine = rows.groupBy("node").agg(F.min("row_id").alias("_first"), F.count("*").alias("_n")).join(comps, "node")
+    rows, store = components(spark, sf_dir)
+    comps = store.resolve(rows.select("node"))
+    mine = cut(rows.groupBy("node").agg(F.min("row_id").alias("_first"), F.count("*").alias("_n")).join(comps, "node"))
     groups = mine.groupBy("component").agg(F.min("_first").alias("group_id"), F.sum("_n").alias("_rows")).where("_rows > 1")
     by_node = salted_join(mine.select("node", "component"), groups, ["component"], ["node"]).select("node", "group_id")
     return salted_join(rows.select("row_id", "node"), by_node, ["node"], ["row_id"]).select("row_id", "group_id")
@@ -68,8 +80,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p5_splits")
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, family, split): every row in one split, all rows of a component in the same."""
-    rows, comps = components(spark, sf_dir)
-    rows = cut(grouped(rows, comps).select("row_id", "family", "component"))
+    rows, store = components(spark, sf_dir)
+    rows = cut(grouped(rows, store.resolve(rows.select("node"))).select("row_id", "family", "component"))
     sizes = rows.groupBy("component", F.col("family").alias("stratum")).agg(F.count("*").alias("n"))
     splits = fill_deficits(sizes, None, table(spark, sf_dir, "split_shares"))
     return salted_join(rows, splits, ["component"], ["row_id"]).select("row_id", "family", "split")
@@ -77,30 +89,22 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p5_incremental")
 def p5_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same in two deliveries: the later one extends the component table of the earlier one.
+    """The same as the deliveries come: components of the first keep the splits they got then.
 
-    Components of the first delivery keep their split, new ones fill the deficits, and components
-    that the second delivery joins across splits are quarantined.
+    New components fill the deficits, and components that the second delivery joins across splits are
+    quarantined.
     """
-    corpus = table(spark, sf_dir, "t11_targeted_v1")
-    late = F.coalesce(F.col("ingested_at") >= F.lit("2024-07-01").cast("timestamp_ntz"), F.lit(True))
-    rows = cut(tied_rows(corpus).join(corpus.select("row_id", late.alias("late")), "row_id"))
-    old = rows.where(~F.col("late"))
-    first = cut(update_components(None, old.select("node"), ties(old, old)))
-    before = cut(grouped(old, first).select("row_id", "family", "component", "node"))
+    rows, store = components(spark, sf_dir)
     shares = table(spark, sf_dir, "split_shares")
+    first = cut(store.resolve(rows.where(~F.col("late")).select("node"), 1))
+    before = grouped(rows.where(~F.col("late")), first)
     sizes = before.groupBy("component", F.col("family").alias("stratum")).agg(F.count("*").alias("n"))
     kept = cut(fill_deficits(sizes, None, shares))
 
-    folder = scratch(spark, "components")
-    save_table(salted_join(first, kept, ["component"], ["node"]).select("node", "component", "split"), folder)
-
-    # A trace named by an old row may arrive with the new ones; ties are therefore taken over all rows.
-    known = load_table(spark, folder)
-    second = cut(update_components(known, rows.select("node"), ties(rows, rows)))
-    after = cut(grouped(rows, second).select("row_id", "family", "component", "late"))
-    moved = known.join(second.select("node", F.col("component").alias("_now")), "node").select("_now", "split").distinct()
-    kept = moved.select(F.col("_now").alias("component"), "split")
+    now = cut(store.resolve(rows.select("node")))
+    moved = salted_join(first, now.withColumnRenamed("component", "_now"), ["node"], ["component"])
+    moved = salted_join(moved.select("component", "_now").distinct(), kept, ["component"], ["_now"]).select(F.col("_now").alias("component"), "split").distinct()
+    after = cut(grouped(rows, now).select("row_id", "family", "component", "late"))
     sizes = after.groupBy("component", F.col("family").alias("stratum")).agg(F.count("*").alias("n"))
-    splits = fill_deficits(sizes, kept, shares)
+    splits = fill_deficits(sizes, moved, shares)
     return salted_join(after, splits, ["component"], ["row_id"]).select("row_id", "family", "late", "split")

@@ -1,12 +1,16 @@
 """Splits that keep related records together: a persisted component table and deficit filling.
 
-The component table has one row per node with the smallest node of its component.  New edges are
-first mapped to components and contracted, so an update costs as much as its edges, not as the
-table.  Merging works on component roots only: every root hooks to its smallest neighbour,
-pointer jumping shortens the chains, the edges are mapped to the new roots, and loops and
-repetitions drop out, until no edge is left.  The work of each round is joins and aggregations on
-node keys; no component is ever gathered in one place, and nothing is sent to the driver but
-counts.  Every round ends in a checkpoint, so a lost executor costs one round.
+The component table holds a pointer (node, parent) for every node that isn't the smallest of its
+component.  An update maps the ends of its edges to the roots they have in the table, contracts them,
+and merges the roots: every root hooks to its smallest neighbour, pointer jumping shortens the chains,
+the edges are mapped to the new roots, and loops and repetitions drop out, until no edge is left.  It
+then appends the pointers of the roots and nodes that moved, and rewrites nothing: an update reads the
+table to find the ends of its edges, and all else costs as much as the edges.  Pointers of several
+updates form chains, no longer than the number of updates; ``compact`` makes them one.
+
+The work of each round is joins and aggregations on node keys; no component is ever gathered in one
+place, and nothing is sent to the driver but counts.  Every round ends in a checkpoint, so a lost
+executor costs one round.
 """
 
 from __future__ import annotations
@@ -56,55 +60,80 @@ def merge_map(edges: DataFrame) -> DataFrame:
     return done
 
 
-def update_components(existing: DataFrame | None, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The component table (node, component) after adding ``nodes`` and ``edges`` (a, b).
-
-    Null nodes and edges with a null end are ignored; repeated ones count once; nodes named by
-    edges only are added.  ``existing`` is an earlier result, or None.
-    """
-    edges = cut(edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b").distinct())
-    named = nodes.select("node").where(F.col("node").isNotNull()).union(edges.select("a")).union(edges.select("b")).distinct()
-    if existing is None:
-        table = named.select("node", F.col("node").alias("component"))
-    else:
-        table = existing.select("node", "component").union(named.join(existing, "node", "left_anti").select("node", F.col("node").alias("component")))
-        for side in ("a", "b"):
-            at = existing.select(F.col("node").alias(side), F.col("component").alias("_c"))
-            other = "b" if side == "a" else "a"
-            edges = salted_join(edges, at, [side], [other], "left").select(F.coalesce("_c", side).alias(side), other)
-    table = cut(table)
-    moved = merge_map(edges).select(F.col("node").alias("component"), F.col("parent").alias("_to"))
-    return salted_join(table, moved, ["component"], ["node"], "left").select("node", F.coalesce("_to", "component").alias("component"))
-
-
-def save_table(table: DataFrame, folder: str) -> int:
-    """Persist a component table as the next version below ``folder``; earlier versions stay."""
-    version = 1 + (_versions(table.sparkSession, folder) or 0)
-    table.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(folder)
-    return version
-
-
-def load_table(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The latest version of a persisted component table; None where there is none."""
-    version = _versions(spark, folder)
-    return spark.read.parquet(folder).where(F.col("version") == version).drop("version") if version else None
-
-
-def _versions(spark: SparkSession, folder: str) -> int | None:
-    try:
-        return spark.read.parquet(folder).agg(F.max("version")).first()[0]
-    except AnalysisException:
-        return None
-
-
-def fill_deficits(sizes: DataFrame, kept: DataFrame | None, shares: DataFrame, *, large: int = 200, slices: int = 64) -> DataFrame:
+class Components:
+    """The component table persisted below ``folder``, one folder for each update."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def versions(self) -> int:
+        """Number of updates so far."""
+        try:
+            return self.spark.read.parquet(self.folder).agg(F.max("version")).first()[0] or 0
+        except AnalysisException:
+            return 0
+
+    def pointers(self, version: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/version={version}").select("node", "parent")
+
+    def _write(self, pointers: DataFrame, version: int) -> None:
+        pointers.select("node", "parent").write.mode("overwrite").parquet(f"{self.folder}/version={version}")
+
+    def resolve(self, nodes: DataFrame, upto: int | None = None) -> DataFrame:
+        """(node, component) of ``nodes`` (node; null ones are left out) after the first ``upto`` updates.
+
+        A node that no update has named is a component of its own.
+        """
+        out = nodes.select("node").where(F.col("node").isNotNull()).distinct().withColumn("component", F.col("node"))
+        for v in range(1, (self.versions() if upto is None else upto) + 1):
+            up = self.pointers(v).toDF("component", "_up")
+            out = salted_join(cut(out), up, ["component"], ["node"], "left").select("node", F.coalesce("_up", "component").alias("component"))
+        return out
+
+    def update(self, edges: DataFrame) -> int:
+        """Add ``edges`` (a, b) and give the number of updates so far.
+
+        Edges with a null end are ignored, repeated ones count once.  Edges that join nothing new are
+        no update.
+        """
+        version = self.versions() + 1
+        e = cut(edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b").distinct())
+        if version > 1:
+            ends = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
+            at = self.resolve(ends).where(F.col("node") != F.col("component"))
+            at = cut(at)
+            for side, other in (("a", "b"), ("b", "a")):
+                e = salted_join(e, at.toDF(side, "_c"), [side], [other], "left").select(F.coalesce("_c", side).alias(side), other)
+            e = e.select("a", "b")
+        moved = merge_map(e)
+        if moved.isEmpty():
+            return version - 1
+        self._write(moved, version)
+        return version
+
+    def compact(self) -> None:
+        """Make all pointers lead to roots, as the first update of a table that has no others."""
+        versions = self.versions()
+        if versions < 2:
+            return
+        every = self.pointers(1)
+        for v in range(2, versions + 1):
+            every = every.union(self.pointers(v))
+        roots = cut(self.resolve(every.select("node"), versions)).toDF("node", "parent")
+        # Safe at every moment: pointers to roots agree with the chains.
+        self._write(roots, 1)
+        for v in range(2, versions + 1):
+            self._write(roots.where("false"), v)
+
+
+def fill_deficits(sizes: DataFrame, kept: DataFrame | None, shares: DataFrame, *, large: int = 200, slice_rows: int = 500_000) -> DataFrame:
     """(component, split) for the components of ``sizes`` (component, stratum, n).
 
     ``kept`` (component, split) keeps what it has; a component that it names with several splits
     is quarantined.  The others fill, within each stratum, what ``shares`` (split_name, share_ppm)
     lacks: components of at least 1/``large`` of the stratum (so at most ``large`` of them) go one
     after the other to the split with the largest deficit; the rest stand in random order on a line
-    that is cut by the deficits left, by a prefix sum over ``slices`` hash slices.  A split so
+    that is cut by the deficits left, by a prefix sum over hash slices of about ``slice_rows`` components.  A split so
     misses its share by at most one small component.  A component lies in the stratum in which it
     has most rows.
     """
@@ -116,10 +145,11 @@ def fill_deficits(sizes: DataFrame, kept: DataFrame | None, shares: DataFrame, *
         s = s.join(k, "component", "left")
     else:
         s = s.withColumn("split", F.lit(None).cast("string"))
+    s = cut(s)
     total = s.groupBy("stratum").agg(F.sum("rows").alias("total"))
     want = shares.groupBy(F.col("split_name").alias("split")).agg(F.sum("share_ppm").alias("ppm"))
     have = s.where(F.col("split").isNotNull()).groupBy("stratum", "split").agg(F.sum("rows").alias("have"))
-    deficit = total.crossJoin(want).join(have, ["stratum", "split"], "left")
+    deficit = total.crossJoin(F.broadcast(want)).join(have, ["stratum", "split"], "left")
     deficit = deficit.select("stratum", "split", (F.col("total") * F.col("ppm") / 1e6 - F.coalesce("have", F.lit(0))).alias("lack"))
     lacks = deficit.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("split", "lack"))).alias("lacks"))
 
@@ -145,6 +175,7 @@ def fill_deficits(sizes: DataFrame, kept: DataFrame | None, shares: DataFrame, *
     cuts = cuts.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("_hi", "split"))).alias("cuts"), F.max("_all").alias("_all"))
 
     rest = free.where(F.col("rows") * large < F.col("total")).withColumn("_u", F.md5(F.col("component").cast("binary")))
+    slices = max(1, -(-s.count() // slice_rows))
     rest = rest.withColumn("_slice", F.floor(F.conv(F.substring("_u", 1, 8), 16, 10).cast("long") * slices / 2**32).cast("int"))
     before = Window.partitionBy("stratum").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     base = rest.groupBy("stratum", "_slice").agg(F.sum("rows").alias("_n")).select(

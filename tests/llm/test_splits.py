@@ -7,7 +7,7 @@ import random
 import pytest
 
 from pointgate.llm import keys
-from pointgate.llm.splits import QUARANTINE, fill_deficits, load_table, save_table, update_components
+from pointgate.llm.splits import QUARANTINE, Components, fill_deficits
 
 
 def brute(nodes, edges):
@@ -25,37 +25,48 @@ def brute(nodes, edges):
     return {n: root(n) for n in up}
 
 
-def run(spark, existing, nodes, edges):
-    return update_components(existing, spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(edges, "a string, b string"))
+def run(spark, folder, *updates):
+    store = Components(spark, str(folder / "table"))
+    for k, edges in enumerate(updates, 1):
+        assert store.update(spark.createDataFrame(edges, "a string, b string")) == k
+    return store
+
+
+def resolved(spark, store, nodes, upto=None):
+    return {r["node"]: r["component"] for r in store.resolve(spark.createDataFrame([(n,) for n in nodes], "node string"), upto).collect()}
 
 
 @pytest.mark.parametrize("kind", ["random", "path", "star", "none"])
-def test_components(spark, kind):
+def test_components(spark, kind, tmp_path):
     rng = random.Random(4)
     nodes = [f"n{i:02d}" for i in range(40)]
     edges = {
         "random": [(rng.choice(nodes), rng.choice(nodes)) for _ in range(30)], "path": [(nodes[i], nodes[i + 1]) for i in range(25)][::-1],
         "star": [("n39", n) for n in nodes[:30]] * 2, "none": [],
     }[kind]
-    got = {r["node"]: r["component"] for r in run(spark, None, nodes + [None], edges + [(None, "n01")]).collect()}
-    assert got == brute(nodes, edges)
+    store = Components(spark, str(tmp_path / "table"))
+    assert store.update(spark.createDataFrame(edges + [(None, "n01")], "a string, b string")) == (kind != "none")
+    assert resolved(spark, store, nodes + [None]) == brute(nodes, edges)
 
 
-def test_increments_equal_one_go(spark):
-    nodes, edges = [f"n{i:02d}" for i in range(20)], [("n01", "n02"), ("n03", "n04"), ("n10", "n11"), ("n02", "n10"), ("n04", "n12"), ("n12", "new")]
-    first = run(spark, None, nodes[:12], edges[:3])
-    second = run(spark, first, nodes[12:], edges[3:])
-    assert {r["node"]: r["component"] for r in second.collect()} == brute(nodes, edges)
+def test_increments_equal_one_go(spark, tmp_path):
+    """Updates that join, extend and leave components alone; earlier states stay; compacting changes nothing."""
+    nodes = [f"n{i:02d}" for i in range(20)] + ["new"]
+    edges = [("n01", "n02"), ("n03", "n04"), ("n10", "n11"), ("n02", "n10"), ("n04", "n12"), ("n12", "new"), ("n00", "n11"), ("n19", "n03")]
+    store = run(spark, tmp_path, edges[:3], edges[3:6])
+    assert store.update(spark.createDataFrame([("n02", "n01"), ("n05", None)], "a string, b string")) == 2
+    assert store.update(spark.createDataFrame(edges[6:], "a string, b string")) == 3
+    for upto, k in ((1, 3), (2, 6), (3, 8), (None, 8)):
+        assert resolved(spark, store, nodes, upto) == brute(nodes, edges[:k])
+    store.compact()
+    assert store.versions() == 1
+    assert resolved(spark, store, nodes) == brute(nodes, edges)
 
 
-def test_persisted_table(spark, tmp_path):
-    folder = str(tmp_path / "table")
-    assert load_table(spark, folder) is None
-    first = run(spark, None, ["a", "b", "c"], [("a", "b")])
-    assert save_table(first, folder) == 1
-    second = run(spark, load_table(spark, folder), ["d"], [("c", "d"), ("d", "b")])
-    assert save_table(second, folder) == 2
-    assert {r["node"]: r["component"] for r in load_table(spark, folder).collect()} == dict.fromkeys("abcd", "a")
+def test_an_update_writes_what_it_changes(spark, tmp_path):
+    edges = [(f"a{i}", f"a{i + 1}") for i in range(200)]
+    store = run(spark, tmp_path, edges, [("a150", "a003"), ("b", "c")], [("a7", "b")])
+    assert [store.pointers(v).count() for v in (1, 2, 3)] == [200, 2, 1]
 
 
 def test_deficits_kept_splits_and_quarantine(spark):
@@ -64,7 +75,7 @@ def test_deficits_kept_splits_and_quarantine(spark):
     shares = spark.createDataFrame([("train", 800_000), ("validation", 100_000), ("test", 100_000)], "split_name string, share_ppm int")
     kept = spark.createDataFrame([("c1", "test"), ("c2", "test"), ("c2", "train")], "component string, split string")
     df = spark.createDataFrame(sizes, "component string, stratum string, n int")
-    got = {r["component"]: r["split"] for r in fill_deficits(df, kept, shares, slices=4).collect()}
+    got = {r["component"]: r["split"] for r in fill_deficits(df, kept, shares, slice_rows=50).collect()}
     assert len(got) == len(sizes) and got["c1"] == "test" and got["c2"] == QUARANTINE and got["big"] == "train"
     for s in "xy":
         total = sum(n for _, t, n in sizes if t == s)
