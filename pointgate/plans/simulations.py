@@ -19,41 +19,105 @@ def boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("season", "preset", "player_id", "x.*")
 
 
-def grid(spark: SparkSession, sf_dir: str, seeds: int) -> DataFrame:
-    cells = table(spark, sf_dir, "draftbench").select("season", "preset").distinct()
-    x = cells.withColumn("slot", F.explode(F.array(F.lit(1), F.lit(3)))).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    return x.withColumn("policy", F.explode(F.array(*map(F.lit, sim.POLICIES))))
+def grid(spark: SparkSession, sf_dir: str, seeds: int, policies: list[str], supervisors: tuple[str, ...] = ("none",)) -> DataFrame:
+    """Every season and preset with every slot, seed, policy and supervisor."""
+    x = table(spark, sf_dir, "draftbench").where(F.col("season").isNotNull() & F.col("preset").isNotNull()).select("season", "preset").distinct()
+    many = lambda values: F.explode(F.array(*map(F.lit, values)))
+    x = x.withColumn("slot", many(range(1, sim.Rules().teams + 1))).withColumn("seed", many(range(seeds)))
+    return x.withColumn("policy", many(policies)).withColumn("supervisor", many(supervisors))
+
+
+def all_picks(cell: tuple, board: pd.DataFrame) -> list[tuple]:
+    return sim.play(board, **sim.arguments(cell)).picks
 
 
 @query("draft_sim")
 def draft_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pick of the grid of seasons, presets, slots, seeds and policies."""
-    return sim.draft_grid(grid(spark, sf_dir, 2), boards(spark, sf_dir))
+    return sim.each_draft(grid(spark, sf_dir, 1, list(sim.POLICIES)), boards(spark, sf_dir), "pick int, team int, player_id string", all_picks)
+
+
+def draft_result(cell: tuple, board: pd.DataFrame) -> list[tuple]:
+    """What a finished draft is worth: points of the best line-up, gaps, positions, look-ups."""
+    d = sim.play(board, **sim.arguments(cell))
+    mine = [d.index[p] for _, t, p in d.picks if t == d.slot]
+    used: set[int] = set()
+    best = lambda places, n: used.update(sorted((i for i in mine if d.names[d.position[i]] in places and i not in used), key=lambda i: -d.points[i])[:n])
+    for p, n in d.rules.starters.items():
+        best((p,), n)
+    best(d.rules.flex, d.rules.flex_places)
+    n = dict(zip(d.names, d.counts[d.slot - 1].tolist()))
+    return [(float(round(sum(d.points[i] for i in used), 2)), int(d.gaps(d.counts[d.slot - 1])), len(mine), *[n.get(p, 0) for p in ("QB", "RB", "WR", "TE")], d.total_lookups, d.capped)]
 
 
 @query("draft_benchmark")
 def draft_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of a policy's team against the control that shares seed and opponents."""
-    picks = draft_sim(spark, sf_dir)
-    own = picks.where(F.col("team") == F.col("slot"))
-    pts = boards(spark, sf_dir).select("season", "preset", "player_id", "prev_points")
-    t = own.join(pts, ["season", "preset", "player_id"]).groupBy("season", "preset", "slot", "seed", "policy").agg(F.round(F.sum("prev_points"), 2).alias("points"))
+    """The line-up of each policy against the control that shares season, slot, seed and opponents."""
+    schema = "points double, gaps int, picks int, qb int, rb int, wr int, te int, lookups int, capped int"
+    t = sim.each_draft(grid(spark, sf_dir, 2, list(sim.POLICIES)), boards(spark, sf_dir), schema, draft_result)
     control = t.where("policy = 'autopick'").select("season", "preset", "slot", "seed", F.col("points").alias("control"))
     return t.join(control, ["season", "preset", "slot", "seed"]).withColumn("delta", F.round(F.col("points") - F.col("control"), 2))
 
 
-@query("replay_prefix")
-def replay_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replays of a prefix of each draft, and whether they end in the state of the full run."""
-    cells = grid(spark, sf_dir, 1).join(boards(spark, sf_dir), ["season", "preset"])
+@query("draft_panel")
+def draft_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arms (policy and supervisor) over a matched panel: mean, deviation, wins against the control, share of full line-ups, 95th percentile by index, look-ups."""
+    schema = "points double, gaps int, picks int, qb int, rb int, wr int, te int, lookups int, capped int"
+    t = sim.each_draft(grid(spark, sf_dir, 1, ["autopick", "greedy"], tuple(sim.SUPERVISORS)), boards(spark, sf_dir), schema, draft_result)
+    control = t.where("policy = 'autopick' and supervisor = 'none'").select("season", "preset", "slot", "seed", F.col("points").alias("control"))
+    x = t.join(control, ["season", "preset", "slot", "seed"])
+    high = F.element_at(F.array_sort(F.collect_list("points")), F.floor(0.95 * (F.count("*") - 1) + 1).cast("int"))
+    return x.groupBy("policy", "supervisor").agg(
+        F.count("*").alias("n"), F.round(F.avg("points"), 2).alias("mean"), F.round(F.stddev_samp("points"), 2).alias("sd"), F.round(F.avg(F.col("points") - F.col("control")), 2).alias("delta"),
+        F.count_if(F.col("points") > F.col("control")).alias("wins"), F.count_if(F.col("points") == F.col("control")).alias("ties"), F.count_if(F.col("points") < F.col("control")).alias("losses"),
+        F.round(F.avg((F.col("gaps") == 0).cast("int")), 4).alias("full"), F.round(high, 2).alias("p95"), F.sum("lookups").alias("lookups"),
+    )
+
+
+def replayed(cell: tuple, board: pd.DataFrame) -> list[tuple]:
+    args = sim.arguments(cell)
+    full = sim.play(board, **args)
+    at = {}
+    sim.play(board, **args, on_turn=lambda d, seen, action: at.setdefault(d.pick, d.state()))
+    stop = sorted(at)[len(at) // 2] if at else 1
+    part = sim.play(board, **args, until=stop)
+    return [(len(part.picks), part.state() == at.get(stop, part.state()) and full.picks[: len(part.picks)] == part.picks)]
 
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        season, preset, slot, seed, policy = key
-        args = {"teams": 4, "slot": int(slot), "rounds": 9, "seed": f"{season}:{preset}:{seed}", "policy": sim.POLICIES[policy]}
-        full, part = sim.draft(f, **args), sim.draft(f, **args, until=8)
-        return pd.DataFrame([(*key, len(part), full[: len(part)] == part)], columns=["season", "preset", "slot", "seed", "policy", "replayed", "same"])
 
-    return cells.groupBy("season", "preset", "slot", "seed", "policy").applyInPandas(run, "season int, preset string, slot int, seed int, policy string, replayed int, same boolean")
+@query("replay_prefix")
+def replay_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replays of half of each draft, and whether their digest is the one that the full run had there."""
+    return sim.each_draft(grid(spark, sf_dir, 1, ["greedy"]), boards(spark, sf_dir), "replayed int, same boolean", replayed)
+
+
+def traces(cell: tuple, board: pd.DataFrame) -> list[tuple]:
+    """Turns of an expert: directly, after a bad third pick of its own, and with a look-up before the pick."""
+    out: list[tuple] = []
+
+    def note(kind: str):  # noqa: ANN202
+        def on_turn(d: sim.Draft, seen: dict, action: dict) -> None:
+            shown = [c["player_id"] for c in seen["candidates"]]
+            out.append((kind, d.pick, "tool" if "tool" in action else "pick", str(action.get("pick") or action["args"]["player_id"]), len(seen["roster"]), shown[0] if shown else None, d.state()[:12]))
+
+        return on_turn
+
+    args = sim.arguments(cell)
+    sim.play(board, **args, on_turn=note("direct"))
+    own = sim.Rules().picks(cell[2])[2]
+    bad = board.sort_values(["adp", "player_id"]).iloc[-1]["player_id"]
+    sim.play(board, **args, force={own: bad}, on_turn=note("recovery"))
+    out = [r for r in out if r[0] == "direct" or r[1] > own]
+    start = len(out)
+    sim.play(board, **(args | {"supervisor": "look_up_first"}), on_turn=note("tool_pair"))
+    tools = {r[1] for r in out[start:] if r[2] == "tool"}
+    return out[:start] + [r for r in out[start:] if r[1] in tools]
+
+
+@query("expert_traces")
+def expert_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each turn of the expert, of three kinds of traces."""
+    schema = "kind string, pick int, action string, player_id string, held int, first_shown string, state string"
+    return sim.each_draft(grid(spark, sf_dir, 1, ["value"]), boards(spark, sf_dir), schema, traces)
 
 
 _CHAMP = f"""
