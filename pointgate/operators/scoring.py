@@ -6,10 +6,10 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointgate.functions.scalar import half_up
+from pointgate.functions.scalar import half_even
 
 
 @dataclass(frozen=True)
@@ -34,16 +34,24 @@ def number(c: Column) -> Column:
     return F.coalesce(F.nullif(F.nullif(c.cast("string"), F.lit("")), F.lit("NA")).try_cast("double"), F.lit(0.0))
 
 
-def weighted_score(scoring: Scoring, stats: dict[str, Column], position: Column) -> Column:
-    """Every contribution rounded to 4 decimals, their sum to 2."""
-    total = F.lit(0.0)
+def weighted_score(df: DataFrame, scoring: Scoring, stats: dict[str, Column], position: Column, name: str = "score") -> DataFrame:
+    """``df`` with the score: every contribution rounded to 4 decimals, their sum to 2, both half to even by the binary value.
+
+    Steps are columns of their own, so that each is computed once.
+    """
+    parts = {}
     for stat, weight in scoring.weights.items():
         w: Column = F.lit(weight)
         for p, o in scoring.overrides.items():
             if stat in o:
                 w = F.when(position == p, F.lit(o[stat])).otherwise(w)
-        total = total + half_up(stats[stat] * w, 4)
-    return half_up(total, 2)
+        parts[f"_{stat}"] = stats[stat] * w
+    x = df.withColumns(parts)
+    x = x.withColumns({p: half_even(F.col(p), 4) for p in parts})
+    total = F.lit(0.0)
+    for p in parts:
+        total = total + F.col(p)
+    return x.withColumn("_total", total).withColumn(name, half_even(F.col("_total"), 2)).drop("_total", *parts)
 
 
 #: Ranks up to which a position counts, and beyond which it was not expected to.
@@ -55,6 +63,21 @@ def by_position(position: Column, values: dict[str, int]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), position)
 
 
+#: A bust was expected among the first of its position and ends beyond these.
+BUST_MARKET_GATE, BUST_FINISH_GATE, INJURY_GAMES = 12, 24, 8
+
+
+def position_label(position: Column, market: Column, finish: Column, games: Column) -> Column:
+    """struct (alpha, breakout, bust, injury_bust) of a rank expected and a rank reached, by the gates of the position.
+
+    Without a finish there is no breakout and no injury bust; a null market rank gives no label.
+    """
+    breakout = (finish <= by_position(position, FINISH_GATE)) & (market > by_position(position, MARKET_GATE))
+    bust = (market <= BUST_MARKET_GATE) & (finish.isNull() | (finish > BUST_FINISH_GATE))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return F.struct((market - finish).alias("alpha"), yes(breakout).alias("breakout"), yes(bust).alias("bust"), yes(bust & finish.isNotNull() & (games < INJURY_GAMES)).alias("injury_bust"))
+
+
 def band(offset: Column) -> Column:
     """How far past its gate a rank is."""
     return F.when(offset <= 12, "near_gate").when(offset <= 30, "mid").otherwise("deep")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointgate.functions.scalar import half_up
+from pointgate.functions.scalar import half_even_sql, half_up
 from pointgate.operators import scoring as sc
 from pointgate.operators.ranking import sliced_rank, unique_rank
 from pointgate.operators.temporal import prior_period
@@ -18,14 +18,12 @@ LINE_SCORING = sc.Scoring({"quantity": 0.5, "price": 0.001, "discount": -2.0, "t
 
 @query(
     "score_weighted",
-    """
-SELECT l_orderkey, l_linenumber, floor((floor(coalesce(l_quantity, 0) * 0.5::DOUBLE * 1e4 + 0.5) / 1e4 + floor(coalesce(l_extendedprice, 0) * CASE WHEN l_returnflag = 'R' THEN 0.0004::DOUBLE ELSE 0.001::DOUBLE END * 1e4 + 0.5) / 1e4
-  + floor(coalesce(l_discount, 0) * -2.0::DOUBLE * 1e4 + 0.5) / 1e4 + floor(coalesce(l_tax, 0) * -1.0::DOUBLE * 1e4 + 0.5) / 1e4) * 1e2 + 0.5) / 1e2 AS score
-FROM lineitem""",
+    "WITH x AS (SELECT l_orderkey, l_linenumber, coalesce(l_quantity, 0)::DOUBLE * 0.5::DOUBLE AS a, coalesce(l_extendedprice, 0)::DOUBLE * CASE WHEN l_returnflag = 'R' THEN 0.0004::DOUBLE ELSE 0.001::DOUBLE END AS b, coalesce(l_discount, 0)::DOUBLE * -2.0::DOUBLE AS c, coalesce(l_tax, 0)::DOUBLE * -1.0::DOUBLE AS d FROM lineitem), "
+    f"y AS (SELECT l_orderkey, l_linenumber, {half_even_sql('a', 4)} + {half_even_sql('b', 4)} + {half_even_sql('c', 4)} + {half_even_sql('d', 4)} AS t FROM x) SELECT l_orderkey, l_linenumber, {half_even_sql('t', 2)} AS score FROM y",
 )
 def score_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = {"quantity": sc.number(F.col("l_quantity")), "price": sc.number(F.col("l_extendedprice")), "discount": sc.number(F.col("l_discount")), "tax": sc.number(F.col("l_tax"))}
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", sc.weighted_score(LINE_SCORING, stats, F.col("l_returnflag")).alias("score"))
+    return sc.weighted_score(table(spark, sf_dir, "lineitem"), LINE_SCORING, stats, F.col("l_returnflag")).select("l_orderkey", "l_linenumber", "score")
 
 
 @query("config_fingerprint", "SELECT substr(sha256('{\"overrides\": {\"R\": {\"price\": 0.0004}}, \"weights\": {\"discount\": -2.0, \"price\": 0.001, \"quantity\": 0.5, \"tax\": -1.0}}'), 1, 12) AS fingerprint, 4 AS stats")

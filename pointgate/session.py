@@ -40,12 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (local tests)
-    is a temporary folder made.
+    A cluster names it in ``spark.checkpoint.dir``.  Only a local session that names none gets a
+    temporary folder; elsewhere its executors would not share it, so that is an error.
     """
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="pointgate-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -56,8 +58,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def fan_out(spark: SparkSession) -> int:
-    """Partitions for a deliberate shuffle, as the session sets them."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

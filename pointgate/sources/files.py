@@ -49,3 +49,24 @@ def write_index(df: DataFrame, path: str, *, shard: str, order: list[str]) -> No
 def manifest(df: DataFrame, *, by: str, digest: list[str]) -> DataFrame:
     """(by, rows, digest): counts and an order-free digest of every group."""
     return df.groupBy(by).agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*digest)).alias("digest"))
+
+
+def replace_atomically(df: DataFrame, path: str) -> None:
+    """Write a Parquet table beside ``path`` and put it there by a rename.
+
+    Readers see the old table or the new one as a whole: the old one is renamed away first, the new
+    one renamed in, and a write that fails leaves the old one alone.
+    """
+    spark = df.sparkSession
+    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(fresh)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs  # noqa: SLF001
+    at = lambda p: hadoop.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    had = fs.exists(at(path)) and fs.rename(at(path), at(old))
+    if not fs.rename(at(fresh), at(path)):
+        if had:
+            fs.rename(at(old), at(path))
+        raise OSError(f"can't put {fresh} to {path}")
+    if had:
+        fs.delete(at(old), True)
