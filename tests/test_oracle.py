@@ -35,6 +35,8 @@ CELL = ("season", "preset", "slot", "seed", "policy", "supervisor")
 INVARIANTS = {
     "walk_forward_gbt": both(between("p"), once("season", "player_id")),
     "grouped_oof": both(between("p"), once("season", "player_id"), lambda rows: once("player_id")(list({r["player_id"]: r for r in rows}.values())) or len({(r["player_id"], r["fold"]) for r in rows}) == len({r["player_id"] for r in rows})),
+    "threshold_curve": both(between("recall", "accuracy"), lambda rows: [r["taken"] for r in sorted(rows, key=lambda r: r["threshold"])] == sorted((r["taken"] for r in rows), reverse=True) or pytest.fail("more are taken at a higher threshold")),
+    "forest_grid": both(once("depth", "trees", "threshold", "band"), lambda rows: len(rows) == 225 and max(rows, key=lambda r: (r["accuracy"] or 0, r["answered"]))["accuracy"] == min(rows, key=lambda r: r["rank"])["accuracy"] or pytest.fail("the first is not the best")),
     "perm_importance": both(between("brier"), once("feature")),
     "draft_sim": both(once(*CELL, "pick"), once(*CELL, "player_id")),
     "draft_benchmark": both(once(*CELL), lambda rows: all(r["delta"] == 0 for r in rows if r["policy"] == "autopick") or pytest.fail("the control differs from itself")),
