@@ -65,7 +65,7 @@ class Draft:
         self.index = {x: i for i, x in enumerate(self.ids)}
         self.need = np.array([self.rules.starters.get(p, 0) for p in self.names])
         self.flexes = np.array([p in self.rules.flex for p in self.names])
-        sd = b["stdev"].fillna(0.0).to_numpy(float)
+        sd = np.nan_to_num(b["stdev"].astype(float).to_numpy())
         sd = np.where(sd > 0, sd, np.maximum(1.0, 0.15 * self.price))
         rng = np.random.default_rng(int(hashlib.sha256(seed.encode()).hexdigest()[:16], 16))
         self.told = self.price + rng.standard_normal((self.rules.teams, len(b))) * sd

@@ -83,12 +83,12 @@ def reconciled(provider: DataFrame, completed: DataFrame, *, key: str, value: st
     return x.select(key, "provider", "completed", F.when(left >= 0, left).otherwise(F.raise_error(F.concat(F.lit("more completed than provided: "), F.col(key).cast("string")))).alias("open"))
 
 
-@query("ledger_open", "SELECT o_orderpriority, sum(o_totalprice) AS provider, coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 0) AS completed, round(sum(o_totalprice) - coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 0), 4) AS open FROM (SELECT o_orderpriority, o_orderstatus, o_totalprice::DECIMAL(18,2) AS o_totalprice FROM orders) GROUP BY 1")
+@query("ledger_open", "SELECT o_orderpriority, provider::DOUBLE AS provider, completed::DOUBLE AS completed, (provider - completed)::DOUBLE AS open FROM (SELECT o_orderpriority, sum(o_totalprice::DECIMAL(18,2)) AS provider, coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice::DECIMAL(18,2) END), 0) AS completed FROM orders GROUP BY 1)")
 def ledger_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything ordered less everything completed, by priority."""
     o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"))
     x = reconciled(o, o.where("o_orderstatus = 'F'"), key="o_orderpriority", value="o_totalprice")
-    return x
+    return x.select("o_orderpriority", *[F.col(c).cast("double").alias(c) for c in ("provider", "completed", "open")])
 
 
 @query("range_spec", f"WITH b AS ({_BEST}) SELECT season, count(*) AS rows, count(DISTINCT player_id) AS players FROM b WHERE season IN (2015, 2016, 2017, 2018, 2021) GROUP BY 1")
@@ -112,7 +112,7 @@ _FLAGGED = "SELECT player_id, season, bool_or(coalesce(changed_team, false)) AS
 @query(
     "flag_join",
     f"""WITH b AS ({_BEST}), f AS ({_FLAGGED}), p AS (SELECT b.*, f.flag, b.finish <= 24 AS hit FROM b LEFT JOIN f ON f.player_id = b.player_id AND f.season = b.season)
-SELECT season, count(*) AS candidates, count_if(flag IS NULL) AS unmatched, count_if(flag) AS flagged, count_if(flag AND hit) AS flagged_hits, count_if(NOT flag) AS others, count_if(NOT flag AND hit) AS other_hits,
+SELECT season, count(*) AS candidates, count_if(flag IS NULL) AS unmatched, coalesce(count_if(flag), 0) AS flagged, coalesce(count_if(flag AND hit), 0) AS flagged_hits, coalesce(count_if(NOT flag), 0) AS others, coalesce(count_if(NOT flag AND hit), 0) AS other_hits,
   round(count_if(flag AND hit) / nullif(count_if(flag), 0), 6) AS flagged_rate, round(count_if(NOT flag AND hit) / nullif(count_if(NOT flag), 0), 6) AS other_rate FROM p GROUP BY 1""",
 )
 def flag_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,10 +17,10 @@ from pointgate.session import table
     f"""WITH k AS ({_KNOTS}), m AS (SELECT a.preset, a.slot AS a, b.slot AS b, (SELECT sum(v * n) / sum(n) FROM k c WHERE c.preset = a.preset AND c.slot BETWEEN a.slot AND b.slot) AS mean FROM k a JOIN k b ON a.preset = b.preset AND a.slot <= b.slot),
 f AS (SELECT i.preset, i.slot, m.a, max(mean) AS mx FROM k i JOIN m ON m.preset = i.preset AND m.a <= i.slot AND m.b >= i.slot GROUP BY 1, 2, 3), x AS (SELECT preset, slot, min(mx) AS fit FROM f GROUP BY 1, 2),
 g AS (SELECT preset, CAST(s AS INTEGER) AS slot FROM (SELECT DISTINCT preset FROM k), range(0, 25) r(s))
-SELECT g.preset, g.slot, greatest(round(last_value(fit IGNORE NULLS) OVER (PARTITION BY g.preset ORDER BY g.slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2), 0) AS price, x.fit IS NULL AS carried FROM g LEFT JOIN x ON x.preset = g.preset AND x.slot = g.slot""",
+SELECT preset, slot, CASE WHEN fit >= 0 THEN round(fit, 2) WHEN fit < 0 THEN 0 END AS price, carried FROM (SELECT g.preset, g.slot, last_value(fit IGNORE NULLS) OVER (PARTITION BY g.preset ORDER BY g.slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fit, x.fit IS NULL AS carried FROM g LEFT JOIN x ON x.preset = g.preset AND x.slot = g.slot)""",
 )
 def slot_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The price of every slot of every format over all seasons: the isotonic fit, carried forward over slots without players, not below 0."""
+    """The price of every slot of every format over all seasons: the isotonic fit, carried forward over slots without players, not below 0; null before the first player."""
     d = table(spark, sf_dir, "draftbench").where(F.nanvl("adp", F.lit(None)).isNotNull() & F.col("prev_points").isNotNull())
     k = d.groupBy("preset", F.least(F.floor(F.col("adp") / 10), F.lit(17)).cast("int").alias("slot")).agg(F.avg("prev_points").alias("v"), F.count("*").alias("n"))
     fit = m.isotonic_decreasing(k, by=["preset"], x="slot", value="v", weight="n")

@@ -16,6 +16,7 @@ COUNTS = {
     "answers_ingest": ["unknown", "out_of_range", "duplicates"], "future_dates": ["not_before_gate"], "probability_diagnostics": ["confident_wrong", "extreme"], "value_ledger": ["over50", "over25"],
     "claim_lift_sets": ["n_c", "k_c", "n_u", "k_u"], "usage_rollup": ["returned"], "distribution_profile": ["tier1", "tier2"], "band_audit": ["n_kept"], "classifier_metrics": ["tp", "fp", "fn"],
     "pivot_summary": ["f_n", "o_n"], "sequence_windows": ["repeats"], "episode_state": ["lookups"], "array_feasibility": ["missing", "bench"], "contender_registry": ["hits"],
+    "flag_join": ["unmatched", "flagged", "flagged_hits", "others", "other_hits"], "accuracy_gap": ["unranked"], "answer_files": ["unknown", "out_of_range", "duplicates", "kept"],
 }
 
 QUERIES: dict[str, Query] = {}

@@ -54,7 +54,7 @@ def draft_result(cell: tuple, board: pd.DataFrame) -> list[tuple]:
 def draft_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line-up of each policy against the control that shares season, slot, seed and opponents."""
     schema = "points double, gaps int, picks int, qb int, rb int, wr int, te int, lookups int, capped int"
-    t = sim.each_draft(grid(spark, sf_dir, 2, list(sim.POLICIES)), boards(spark, sf_dir), schema, draft_result)
+    t = sim.each_draft(grid(spark, sf_dir, 1, list(sim.POLICIES)), boards(spark, sf_dir), schema, draft_result)
     control = t.where("policy = 'autopick'").select("season", "preset", "slot", "seed", F.col("points").alias("control"))
     return t.join(control, ["season", "preset", "slot", "seed"]).withColumn("delta", F.round(F.col("points") - F.col("control"), 2))
 
@@ -63,7 +63,8 @@ def draft_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 def draft_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arms (policy and supervisor) over a matched panel: mean, deviation, wins against the control, share of full line-ups, 95th percentile by index, look-ups."""
     schema = "points double, gaps int, picks int, qb int, rb int, wr int, te int, lookups int, capped int"
-    t = sim.each_draft(grid(spark, sf_dir, 1, ["autopick", "greedy"], tuple(sim.SUPERVISORS)), boards(spark, sf_dir), schema, draft_result)
+    arms = grid(spark, sf_dir, 1, ["autopick", "greedy"], tuple(sim.SUPERVISORS)).where("policy = 'greedy' or supervisor = 'none'")
+    t = sim.each_draft(arms, boards(spark, sf_dir), schema, draft_result)
     control = t.where("policy = 'autopick' and supervisor = 'none'").select("season", "preset", "slot", "seed", F.col("points").alias("control"))
     x = t.join(control, ["season", "preset", "slot", "seed"])
     high = F.element_at(F.array_sort(F.collect_list("points")), F.floor(0.95 * (F.count("*") - 1) + 1).cast("int"))
