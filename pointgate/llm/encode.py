@@ -9,8 +9,10 @@ pretoken of ``n`` bytes takes ``O(n log n)``, however long it is.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,10 +27,18 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _NONE = 1 << 60
 
 
+#: Largest vocabulary file that is sent to the executors.
+MOST_BYTES = 64 << 20
+
+
+def read_ranks(blob: bytes) -> dict[bytes, int]:
+    """Ranks of a vocabulary file: a token in base64 and its rank on each line."""
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in blob.splitlines() if line.strip())}
+
+
 @lru_cache(4)
 def load_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+    return read_ranks(Path(path).read_bytes())
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -86,12 +96,12 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Encodes texts; ids of pretokens are kept up to ``memory`` entries, which changes speed only."""
+    """Encodes texts by ``ranks`` (or the path of their file); ids of pretokens are kept up to ``memory`` entries, which changes speed only."""
 
-    def __init__(self, path: str, pattern: str = PATTERN, memory: int = 1 << 18):
+    def __init__(self, ranks: str | dict[bytes, int], pattern: str = PATTERN, memory: int = 1 << 18):
         import regex
 
-        self.ranks = load_ranks(path)
+        self.ranks = load_ranks(ranks) if isinstance(ranks, str) else ranks
         self.split = regex.compile(pattern).findall
         self.memory = memory
         self.known: dict[str, list[int]] = {}
@@ -112,9 +122,8 @@ class Encoder:
         return out
 
 
-@lru_cache(2)
-def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+#: The encoder of this Python worker, of the last vocabulary and pattern only.
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
 def encode(df: DataFrame, *, text: str = "text", ids: str = "ids", keep: list[str] | None = None, vocabulary: str = VOCABULARY, pattern: str = PATTERN, chunk: int = 1 << 22) -> DataFrame:
@@ -122,15 +131,23 @@ def encode(df: DataFrame, *, text: str = "text", ids: str = "ids", keep: list[st
 
     Null and empty texts have the empty list; strings that look like special tokens are ordinary
     text; one row comes out for each that goes in.  The work is one pass without a shuffle.  A
-    column that is already named ``ids`` is replaced.  ``vocabulary`` must be readable on every executor.
+    column that is already named ``ids`` is replaced.  ``vocabulary`` is read on the driver and sent
+    to the executors; a file of more than ``MOST_BYTES`` is refused.
     ``chunk`` bounds the bytes of text encoded at a time within a batch.
     """
+    if Path(vocabulary).stat().st_size > MOST_BYTES:
+        raise ValueError(f"{vocabulary} is too large to be sent to the executors")
+    content = Path(vocabulary).read_bytes()
+    key, blob = (hashlib.sha256(content).hexdigest(), pattern), df.sparkSession.sparkContext.broadcast(content)
     keep = [c for c in (df.columns if keep is None else keep) if c not in (text, ids)]
     source = df.select(*keep, F.col(text).cast("string").alias(text))
     schema = source.select(*keep).withColumn(ids, F.array(F.lit(0))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary, pattern)
+        if key not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[key] = Encoder(read_ranks(blob.value), pattern)
+        encoder = _ENCODERS[key]
         for batch in batches:
             rows = max(1, min(batch.num_rows, batch.num_rows * chunk // max(1, batch.nbytes)))
             for i in range(0, batch.num_rows, rows):

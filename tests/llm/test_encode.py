@@ -47,3 +47,15 @@ def test_rows(spark):
     rows = sorted((r["id"], r["ids"]) for r in got.collect())
     assert rows[0] == rows[1] and rows[0][1] and rows[2:] == [(2, []), (3, [])]
     assert encode(df.where("false")).count() == 0
+
+
+def test_too_large_vocabularies_are_refused(spark, tmp_path, monkeypatch):
+    from pointgate.llm import encode as module
+
+    df = spark.createDataFrame([(1, "ab")], "doc_id int, text string")
+    small = tmp_path / "v"
+    small.write_text("".join(f"{__import__('base64').b64encode(bytes([b])).decode()} {b}\n" for b in range(256)))
+    assert [tuple(r) for r in encode(df, vocabulary=str(small)).collect()] == [(1, [97, 98])]
+    monkeypatch.setattr(module, "MOST_BYTES", 10)
+    with pytest.raises(ValueError, match="too large"):
+        encode(df, vocabulary=str(small))
