@@ -29,12 +29,6 @@ def asof_latest(left: DataFrame, right: DataFrame, *, key: list[str], time: str,
     return out.select("_l.*", F.col(f"_last.{right_time}").alias(f"asof_{right_time}"), *[F.col(f"_last.{c}").alias(f"asof_{c}") for c in payload])
 
 
-def lookback(df: DataFrame, *, key: list[str], time: Column, seconds: int) -> Window:
-    """Window over the rows of a key in ``[t - seconds, t)``; ``time`` in whole seconds."""
-    del df
-    return Window.partitionBy(*key).orderBy(time).rangeBetween(-seconds, -1)
-
-
 def prior_period(df: DataFrame, *, key: list[str], period: str, values: list[str], steps: int = 1) -> DataFrame:
     """Values of the period exactly ``steps`` before; a gap gives nulls, unlike ``lag``."""
     before = df.select(*key, (F.col(period) + steps).alias(period), *[F.col(v).alias(f"prior{steps}_{v}") for v in values])
