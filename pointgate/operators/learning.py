@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
@@ -12,14 +12,23 @@ from pyspark.sql import functions as F
 
 
 def fit(kind: str, train: DataFrame, features: list[str], label: str, seed: int = 7, trees: int = 20, depth: int = 5):  # noqa: ANN201
-    """A fitted pipeline: means for missing values, one vector, then the classifier."""
+    """A fitted pipeline: means for missing values, one vector, then the classifier.
+
+    A feature without any value in ``train`` has no mean; it is zero in all rows, so the model can't use it.
+    """
     models = {
         "gbt": lambda: GBTClassifier(labelCol=label, featuresCol="_x", maxIter=10, maxDepth=3, seed=seed),
         "forest": lambda: RandomForestClassifier(labelCol=label, featuresCol="_x", numTrees=trees, maxDepth=depth, seed=seed),
         "logistic": lambda: LogisticRegression(labelCol=label, featuresCol="_x", maxIter=25, regParam=0.01),
     }
     filled = [f"_f_{c}" for c in features]
-    stages = [Imputer(inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_x"), models[kind]()]
+    values = train.agg(*[F.count(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(f"_f_{c}") for c in features]).first()
+    known = [c for c in features if values[f"_f_{c}"]]
+    zeros = [f"0D AS `_f_{c}`" for c in features if c not in known]
+    stages = [SQLTransformer(statement=f"SELECT *, {', '.join(zeros)} FROM __THIS__")] if zeros else []
+    if known:
+        stages.append(Imputer(inputCols=known, outputCols=[f"_f_{c}" for c in known]))
+    stages += [VectorAssembler(inputCols=filled, outputCol="_x"), models[kind]()]
     return Pipeline(stages=stages).fit(train)
 
 

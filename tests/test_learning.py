@@ -49,3 +49,12 @@ def test_threshold_curve(spark):
     df = spark.createDataFrame([(0.2, 0.0), (0.4, 1.0), (0.6, 0.0), (0.8, 1.0)], "p double, y double")
     got = {r["threshold"]: tuple(r)[1:] for r in ml.threshold_curve(df, "y", [0.5, 0.9]).collect()}
     assert got == {0.5: (4, 2, 0.5, 0.5, 0.5), 0.9: (4, 0, None, 0.0, 0.5)}
+
+
+@pytest.mark.parametrize("kind, features", [("gbt", ["x", "z"]), ("logistic", ["z"])])
+def test_a_feature_without_values_in_the_first_period_is_left_unused(frame, kind, features):
+    """Last season's numbers are missing in the first season, which alone teaches the model of the third."""
+    df = frame.where("season <= 2017").withColumn("z", F.when(F.col("season") > 2015, F.col("z")))
+    run = lambda df: {r["player_id"]: r["p"] for r in ml.calibrated_walk_forward(kind, df, period="season", features=features, label="y").collect()}
+    got, other = run(df), run(df.withColumn("z", F.when(F.col("season") > 2015, F.lit(9.0))))
+    assert len(got) == 60 and all(0 <= p <= 1 for p in got.values()) and all(abs(got[k] - other[k]) < 1e-9 for k in got)
