@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointgate.functions import text as tx
 from pointgate.functions.names import coach_name
-from pointgate.operators.matching import greedy_disjoint
+from pointgate.operators.matching import greedy_nearest
 from pointgate.plans.registry import query
 from pointgate.plans.texts import _SAID, said
 from pointgate.session import table
@@ -71,14 +71,11 @@ def histogram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Movers matched to the nearest stayers of season and position by games and points, each used once.
 
-    Candidates are cut to those within 25 points by bins of that width, before the greedy choice.
+    Candidates are those within 25 points, the nearest pair first.
     """
     s = table(spark, sf_dir, "season_points").groupBy("season", "player_id", "position").agg(F.max("total_ppr").alias("ppr"), F.bool_or(F.contains("team", F.lit("/"))).alias("moved"))
-    s = s.withColumn("bin", F.floor(F.col("ppr") / 25))
-    a = s.where("moved").select("season", "position", F.col("player_id").alias("a"), F.col("ppr").alias("ppr_a"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    b = s.where("not moved").select("season", "position", F.col("player_id").alias("b"), F.col("ppr").alias("ppr_b"), "bin")
-    x = a.join(b, ["season", "position", "bin"]).withColumn("distance", F.abs(F.col("ppr_a") - F.col("ppr_b"))).where("distance <= 25").drop("bin")
-    return greedy_disjoint(x, by=["season", "position"], order=["distance", "a", "b"]).select("season", "position", "a", "b", F.round("distance", 2).alias("distance"))
+    x = greedy_nearest(s, by=["season", "position"], id="player_id", value="ppr", side="moved", within=25)
+    return x.select("season", "position", "a", "b", F.round("distance", 2).alias("distance"))
 
 
 @query(
