@@ -62,6 +62,14 @@ def shingles(tokens: Column, n: int) -> Column:
     return F.array_distinct(many)
 
 
+def hashed_shingles(tokens: Column, n: int) -> Column:
+    """64-bit hashes of ``shingles``; none without words."""
+    run = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n))))
+    # The outer array keeps the words from being split anew for every shingle.
+    one = F.transform(F.array(F.transform(tokens, lambda t: F.xxhash64(t))), lambda w: F.when(F.size(w) > 0, run(w)).otherwise(F.array().cast("array<bigint>")))
+    return F.get(one, F.lit(0))
+
+
 def simhash(df: DataFrame, by: list[str], hash: str) -> DataFrame:
     """(by…, h): 64-bit SimHash of the hashes of each group: a bit is set where at least half of them have it.
 

@@ -9,7 +9,7 @@ from pointgate.functions import text as tx
 from pointgate.operators.joins import salted_join
 from pointgate.operators.near import jaccard_pairs
 from pointgate.plans.registry import query
-from pointgate.session import table
+from pointgate.session import cut, table
 
 _TIER = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN " + ("NULL" if n == "excluded" else f"'{n}'") for n, p in tx.TIERS) + " ELSE 'unmatched' END"
 
@@ -89,11 +89,12 @@ def jaccard_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Equal texts are one class with its lowest document; texts without words have no shingles.
     """
-    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    # The generator keeps the words from being split anew for every shingle.
-    w = d.select("doc_id", F.explode(F.array(tx.words(F.col("text")))).alias("w")).where(F.size("w") > 0)
-    g = w.select("doc_id", F.array_distinct(F.transform(tx.shingles(F.col("w"), 5), lambda x: F.xxhash64(x))).alias("g"))
-    return jaccard_pairs(g, id="doc_id", items="g").select(F.col("a").alias("class"), F.col("b").alias("other"), F.round("jaccard", 6).alias("jaccard"))
+    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select(F.unhex(F.sha2("text", 256)).alias("class"), "doc_id", "text")
+    g = d.select("class", tx.hashed_shingles(tx.words(F.col("text")), 5).alias("g"))
+    pairs = cut(jaccard_pairs(g, id="class", items="g"))
+    first = d.groupBy("class").agg(F.min("doc_id").alias("first")).dropna()
+    x = pairs.join(first.toDF("a", "_a"), "a").join(first.toDF("b", "_b"), "b")
+    return x.select(F.least("_a", "_b").alias("class"), F.greatest("_a", "_b").alias("other"), F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("text_classes", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class, count(*) OVER (PARTITION BY text) AS copies FROM documents WHERE text IS NOT NULL AND text <> ''")
