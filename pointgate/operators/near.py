@@ -153,9 +153,9 @@ def jaccard_pairs(df: DataFrame, *, id: str, items: str, least: float = 0.8, com
     row, and frequent ones last; it steers the cost and not the result.  ``df`` is read three times and
     must give the same each time: sets are shuffled only where they are in a candidate pair.
     """
-    sets = df.select(F.col(id).alias("_id"), F.col(items).alias("_s"))
+    # No filter on the items, which would make them twice.
+    sets = df.select(F.col(id).alias("_id"), F.coalesce(items, F.array().cast("array<bigint>")).alias("_s"))
     bits = max(10, min(filter_bits, (128 * sets.select("_id").count()).bit_length()))
-    sets = sets.where(F.size("_s") > 0)
     known = sets.sparkSession.sparkContext.broadcast(shared_items(sets, "_s", bits=bits, common=common))
     kind = sets.schema["_id"].dataType.simpleString()
 
